@@ -5,14 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, packing
-from siltstone.staging import spread
+from siltstone.llm import bpe, distinct, fusion, lookalike, packing
+from siltstone.staging import latest, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim's hits with its three scores, each counted alike."""
+    hits = _table(spark, sf_dir, "retrieval_results").select("claim_id", "chunk_id", "score", "confidence_score", F.array_join("doc_ids", "|").alias("docs"), "ingested_at")
+    hits = hits.groupBy("claim_id", "chunk_id").agg(F.max_by(F.struct("score", "confidence_score", "docs"), F.struct("ingested_at", "score", "confidence_score", "docs")).alias("h"))
+    hits = hits.select("claim_id", "chunk_id", "h.*")
+    runs = latest(_table(spark, sf_dir, "eval_results").select("claim_id", "enriched_top_doc_ids", "enriched_scores", "evaluated_at"), "claim_id", "evaluated_at")
+    entries = runs.select("claim_id", F.posexplode(F.arrays_zip("enriched_top_doc_ids", "enriched_scores")).alias("at", "e"))
+    entries = entries.groupBy("claim_id", F.col("e.enriched_top_doc_ids").alias("docs")).agg(F.min_by("e.enriched_scores", "at").alias("enriched"))
+    scored = hits.join(entries, ["claim_id", "docs"], "left")
+    return fusion.fuse(scored, "claim_id", "chunk_id", {"score": 1.0, "confidence_score": 1.0, "enriched": 1.0})
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).where("place <= 3").select("claim_id", "chunk_id")
+
+
+def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).withColumn("fused", F.round("fused", 6))
+
+
+def _distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = latest(_table(spark, sf_dir, "enriched_chunks").select("chunk_id", "text", "keywords", "ingested_at"), "chunk_id", "ingested_at")
+    words = distinct.terms(F.col("text"), F.array_join("keywords", " "))
+    return distinct.ppmi(rows.select("chunk_id", words.alias("terms")), "chunk_id", "terms")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distinctive(spark, sf_dir).where("tf >= 3 and df between 2 and 8").select("chunk_id", "term")
+
+
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distinctive(spark, sf_dir).withColumn("ppmi", F.round("ppmi", 6))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -31,6 +65,15 @@ def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_packing)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalike.same_look_pairs(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p9_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.normalize(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
 
 ORACLE_SQL: dict[str, str] = {}
