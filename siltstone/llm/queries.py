@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, distinct, fusion, lookalike, packing
+from siltstone.llm import bpe, distinct, fusion, lookalike, neardup, packing
 from siltstone.staging import latest, spread
 
 
@@ -33,6 +33,24 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).withColumn("fused", F.round("fused", 6))
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks = spread(_table(spark, sf_dir, "chunks").select("chunk_id", "text", "ingested_at"))
+    return neardup.near_duplicates(chunks, "chunk_id", "text", by="ingested_at", threshold=0.6)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = _near(spark, sf_dir)
+    return neardup.expand(members, links).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with its class of equal texts and the number of links that the class has to different texts."""
+    members, links = _near(spark, sf_dir)
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    out = members.join(ends, "rep", "left")
+    return out.select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = latest(_table(spark, sf_dir, "enriched_chunks").select("chunk_id", "text", "keywords", "ingested_at"), "chunk_id", "ingested_at")
     words = distinct.terms(F.col("text"), F.array_join("keywords", " "))
@@ -74,6 +92,6 @@ def p9_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
 
 ORACLE_SQL: dict[str, str] = {}
