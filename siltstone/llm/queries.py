@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, distinct, fusion, lookalike, neardup, packing
+from siltstone.llm import bpe, distinct, fusion, lookalike, neardup, packing, sentences
 from siltstone.staging import latest, spread
 
 
@@ -51,6 +51,22 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _newest_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return latest(_table(spark, sf_dir, "chunks").select("chunk_id", "text", "ingested_at", *columns), "chunk_id", "ingested_at").where("text is not null")
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split(spread(_table(spark, sf_dir, "chunks").select("chunk_id", "text", "ingested_at")), "chunk_id", "text", by="ingested_at")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir).select("chunk_id", "start_char", "end_char")
+
+
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir)
+
+
 def _distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = latest(_table(spark, sf_dir, "enriched_chunks").select("chunk_id", "text", "keywords", "ingested_at"), "chunk_id", "ingested_at")
     words = distinct.terms(F.col("text"), F.array_join("keywords", " "))
@@ -92,6 +108,6 @@ def p9_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p4_found, p4_sentences, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
 
 ORACLE_SQL: dict[str, str] = {}
