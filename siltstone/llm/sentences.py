@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from siltstone.llm.bpe import slices
 from siltstone.staging import stage
 
-WORDS, DOTTED = 1 << 17, 1 << 15  # sizes of the hashed tables of right words and of words before a full stop
+WORDS, DOTTED = 1 << 19, 1 << 18  # sizes of the hashed tables of right words and of words before a full stop
 BINS = 33  # bins of the right word's log odds, half a unit each
 
 # Marks that may end a sentence, marks that close and that open.
@@ -42,7 +42,7 @@ _GAP = re.compile(
 _RIGHT = re.compile(rf"([{_OPEN}]*)[ \u00a0\u202f]?(\w[\w\-]*|.)", re.S)
 _MARKER = re.compile(r"(?:\d{1,3}[.)]|[-–—•*])[^\S\n]+(?=\S)")
 _LAST = re.compile(r"[^\s(\[{\"“”‘’«»„‚'（「]{1,24}\Z")
-_INSIDE = re.compile(r"(?<=[^\s.!?…:;\"”’»)\]]) ([\"“‘«„(]*\w[\w\-]*)")
+_INSIDE = re.compile(r"(?<=[^\s.!?…:;\"”’»)\]]) ([\"“‘«„(]*\w[\w\-]*)(?![\w\-]|\.\w)")
 _IDEOGRAPH = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 #: Kinds of places: a word and a full stop; a number; an ellipsis; another mark; a wide mark; a mark and a closing quote; no
@@ -55,7 +55,7 @@ _SCRIPTS, _OPENED, _CASES = "LGCADTJHO", ("", "q", "("), "UClmdx"
 SHAPES = len(_SCRIPTS) * len(_OPENED) * len(_CASES)
 #: what is kept of a place: end of the left and begin of the right text, kind, sub-kind, whether a line of its own ends here,
 #: hashed word before the full stop (with closing marks, and alone), hashed right word and its shape
-PLACE = np.dtype([("left", "<i4"), ("right", "<i4"), ("kind", "u1"), ("sub", "u1"), ("line", "u1"), ("dotted", "<u2"), ("plain", "<u2"), ("word", "<u4"), ("shape", "u1")])
+PLACE = np.dtype([("left", "<i4"), ("right", "<i4"), ("kind", "u1"), ("sub", "u1"), ("line", "u1"), ("dotted", "<u4"), ("plain", "<u4"), ("word", "<u4"), ("shape", "u1")])
 
 
 def _script(c: str) -> str:
@@ -177,9 +177,7 @@ def scan(texts: list[str | None]) -> tuple[list[bytes], dict[str, np.ndarray]]:
         words[nouns].update(inner)
         words[nouns].update(_IDEOGRAPH.findall(t))
         a = np.array(places(t, nouns), PLACE)
-        stats["dotted"] += np.bincount(a["plain"][a["kind"] == _KIND["w"]], minlength=DOTTED) if len(a) > 2000 else 0
-        if 0 < len(a) <= 2000:
-            np.add.at(stats["dotted"], a["plain"][a["kind"] == _KIND["w"]], 1)
+        np.add.at(stats["dotted"], a["plain"][a["kind"] == _KIND["w"]], 1)
         found.append(a.tobytes())
     for nouns in (False, True):
         for w, n in words[nouns].items():
@@ -202,6 +200,7 @@ class Model:
     shape_start: np.ndarray
     abbreviation: np.ndarray  # by hashed word before a full stop
     event: np.ndarray  # by left key
+    case: np.ndarray  # by left key and case of the right word: ln of how much rarer that case is without an event than elsewhere
 
     def log_odds(self, p: np.ndarray) -> np.ndarray:
         """ln P(word | a boundary before) / P(word | none). A rare word leans on its shape; all within its script."""
@@ -227,7 +226,7 @@ class Model:
         """For the places of texts with so many places each: is an event likelier than none there?"""
         c = self.event[self.left(p)].astype(np.float64)
         c = np.where(c < 0, self.prior(p), c)
-        log = np.log(c / (1 - c)) + self.log_odds(p)
+        log = np.log(c / (1 - c)) + self.log_odds(p) + self.case[self.left(p), p["shape"] % len(_CASES)]
         log[p["kind"] == _KIND["1"]] = 20.0
         out = log >= 0
         ends = np.cumsum(sizes)
@@ -255,16 +254,25 @@ def forward_backward(odds: list[float], line: list[int]) -> list[bool]:
     return out
 
 
-def fit_events(cells: np.ndarray, n: np.ndarray, prior: np.ndarray, rounds: int = 40, weight: float = 3.0) -> np.ndarray:
-    """Chance of the event by left key; -1 where none was met. cells: left key * BINS + bin of the word's log odds, n: how often, prior: by left key."""
-    size = DOTTED + len(_KINDS) * _SUB
-    left, ratio = cells // BINS, np.exp((cells % BINS - BINS // 2) / 2.0)
+def fit_events(cells: np.ndarray, n: np.ndarray, prior: np.ndarray, cases: np.ndarray, rounds: int = 40, weight: float = 3.0, lean: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of the event by left key, -1 where none was met, and the log factor by left key and case of the right word.
+
+    cells: (left key * cases + case) * BINS + bin of the word's log odds; n: how often; prior: chance by left key to begin
+    with; cases: shares of the cases inside sentences. Words of scripts without case have no factor.
+    """
+    size, k = len(prior), len(cases)
+    side, ratio = cells // BINS, np.exp((cells % BINS - BINS // 2) / 2.0)
+    left, usual = side // k, np.where(np.arange(k) == _CASES.index("x"), 0.0, cases)
     total = np.bincount(left, n, size)
-    c = prior.copy()
+    c, factor = prior.copy(), np.ones(size * k)
     for _ in range(rounds):
-        on = c[left] * ratio
-        c = np.clip((np.bincount(left, n * on / (on + 1 - c[left]), size) + weight * prior) / (total + weight), 1e-4, 1 - 1e-4)
-    return np.where(total > 0, c, -1.0)
+        on = c[left] * ratio * factor[side]
+        post = on / (on + 1 - c[left])
+        c = np.clip((np.bincount(left, n * post, size) + weight * prior) / (total + weight), 1e-4, 1 - 1e-4)
+        without = np.bincount(side, n * (1 - post), size * k).reshape(size, k) * (usual > 0)
+        share = (without + lean * usual / usual.sum()) / (without.sum(1, keepdims=True) + lean)
+        factor = np.where(usual > 0, np.clip(usual / usual.sum() / np.maximum(share, 1e-9), 1 / 30, 30), 1.0).reshape(-1)
+    return np.where(total > 0, c, -1.0), np.log(factor).reshape(size, k)
 
 
 def abbreviations(dotted: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -341,7 +349,7 @@ def fit(read: DataFrame) -> Model:
     got = _gather(read.where("keys is not null").select("keys", "counts").mapInArrow(sums, _BATCH), {"inside": WORDS, "shape": SHAPES, "seen": DOTTED, "dotted": DOTTED})
     size = DOTTED + len(_KINDS) * _SUB
     zero = np.zeros(WORDS)
-    model = Model(got["inside"], zero, zero, got["shape"], np.zeros(SHAPES), abbreviations(got["dotted"], got["seen"]), np.full(size, -1.0))
+    model = Model(got["inside"], zero, zero, got["shape"], np.zeros(SHAPES), abbreviations(got["dotted"], got["seen"]), np.zeros(0), np.zeros(0))
     found = read.where("places is not null and octet_length(places) > 0").select("places")
 
     first = spark.sparkContext.broadcast(model)
@@ -359,21 +367,26 @@ def fit(read: DataFrame) -> Model:
         yield _sparse(t)
 
     got = _gather(found.mapInArrow(starts, _BATCH), {"start": WORDS, "behind": WORDS, "shape": SHAPES})
-    model = Model(model.inside, got["start"], got["behind"], model.shape_inside, got["shape"], model.abbreviation, model.event)
+    narrow = lambda x: x.astype(np.float32)
+    model = Model(narrow(model.inside), narrow(got["start"]), narrow(got["behind"]), model.shape_inside, got["shape"], model.abbreviation, model.event, model.case)
     second = spark.sparkContext.broadcast(model)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cells = second.value, np.zeros(size * BINS, np.int64)
+        own, cells = second.value, Counter()
         for b in batches:
             p = np.frombuffer(b"".join(b.column(0).to_pylist()), PLACE)
             p = p[p["kind"] != _KIND["1"]]
-            cells += np.bincount(own.left(p) * BINS + np.round(own.log_odds(p) * 2).astype(np.int64) + BINS // 2, minlength=size * BINS)
-        yield _sparse({"cells": cells})
+            side = own.left(p) * len(_CASES) + p["shape"] % len(_CASES)
+            keys, n = np.unique(side * BINS + np.round(own.log_odds(p) * 2).astype(np.int64) + BINS // 2, return_counts=True)
+            cells.update(dict(zip(keys.tolist(), n.tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array(["cells"] * len(cells), pa.string()), pa.array(list(cells), pa.int64()), pa.array(list(cells.values()), pa.int64())], ["name", "k", "n"])
 
-    n = _gather(found.mapInArrow(meet, _BATCH), {"cells": size * BINS})["cells"]
-    cells = np.flatnonzero(n)
+    # at most as many rows as there are hashed left words, cases and bins; in texts a few thousand
+    got = found.mapInArrow(meet, _BATCH).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").toArrow()
     prior = np.concatenate([np.full(DOTTED, _ABBREVIATION), np.repeat(list(_KINDS.values()), _SUB)])
-    model.event = fit_events(cells, n[cells], prior)
+    cases = model.shape_inside.reshape(-1, len(_CASES)).sum(0) + 1
+    event, case = fit_events(np.array(got.column("k"), np.int64), np.array(got.column("n"), np.float64), prior, cases / cases.sum())
+    model.event, model.case = event.astype(np.float32), case.astype(np.float32)
     return model
 
 
