@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, distinct, fusion, lookalike, neardup, packing, sentences
+from siltstone.llm import bpe, distinct, fusion, lookalike, neardup, packing, sentences, splitting
 from siltstone.staging import latest, spread
 
 
@@ -51,10 +51,6 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _newest_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return latest(_table(spark, sf_dir, "chunks").select("chunk_id", "text", "ingested_at", *columns), "chunk_id", "ingested_at").where("text is not null")
-
-
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(spread(_table(spark, sf_dir, "chunks").select("chunk_id", "text", "ingested_at")), "chunk_id", "text", by="ingested_at")
 
@@ -67,6 +63,26 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir)
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks above 512 tokens in pieces."""
+    chunks = _table(spark, sf_dir, "chunks").select("chunk_id", "doc_ids", "text", "ingested_at")
+    model = sentences.train(spread(chunks.select("text")))
+    version = F.xxhash64("text", "doc_ids")
+    newest = latest(chunks.select("chunk_id", "ingested_at", version.alias("v")), "chunk_id", "ingested_at").select("chunk_id", "v")
+    # a text has at least as many characters as tokens
+    long = chunks.where((F.length("text") > 512) & (splitting.count_tokens(F.col("text")) > 512)).withColumn("v", version)
+    held = long.join(newest, ["chunk_id", "v"]).dropDuplicates(["chunk_id"]).select("chunk_id", "doc_ids", "text")
+    return splitting.split_oversized(held, "text", model, 512, 64)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("piece = 0").select("chunk_id", "cut_at")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).withColumnRenamed("piece_tokens", "token_count")
+
+
 def _distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = latest(_table(spark, sf_dir, "enriched_chunks").select("chunk_id", "text", "keywords", "ingested_at"), "chunk_id", "ingested_at")
     words = distinct.terms(F.col("text"), F.array_join("keywords", " "))
@@ -108,6 +124,6 @@ def p9_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p4_found, p4_sentences, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
 
 ORACLE_SQL: dict[str, str] = {}
