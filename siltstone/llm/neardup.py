@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from siltstone.llm.bpe import slices
 from siltstone.staging import stage
 
-FUNCTIONS, BINS, BITS = 8, 16, 4  # minima = FUNCTIONS * BINS, of each of which BITS low bits are kept
+FUNCTIONS, BINS, BITS = 12, 16, 4  # minima = FUNCTIONS * BINS, of each of which BITS low bits are kept
 MINIMA = FUNCTIONS * BINS
 _LONGS = MINIMA * BITS // 64
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -122,33 +122,51 @@ def exact_similarity(a: str, b: str, width: int) -> float:
     return both / (len(x) + len(y) - both) if both else 0.0
 
 
-def _signatures(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(id, by, v, c, sig, bands): df has id, text, by; v marks the text, c its canonical form. Null and blank texts: c null."""
-    schema = T.StructType(
-        [df.schema["id"], df.schema["by"], T.StructField("v", T.LongType()), T.StructField("c", T.BinaryType())]
-        + [T.StructField("sig", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))]
-    )
+def _class_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def lists(x: np.ndarray, has: np.ndarray) -> pa.Array:
-        w = x.shape[1]
-        at = np.concatenate([[0], np.cumsum(np.where(has, w, 0))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(x[has].reshape(-1)))
+
+def _signatures(df: DataFrame, width: int) -> DataFrame:
+    """(id, by, v, c, sig): df has id, by, v, text; c is a hash of the canonical text. Null and blank texts: c null; no shingle: sig null."""
+    schema = T.StructType([df.schema["id"], df.schema["by"], df.schema["v"], T.StructField("c", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t is None else canonical(t) for t in b.column(3).to_pylist()]
+            texts = [canonical(t) if t else "" for t in b.column(3).to_pylist()]
             for s, e in slices(texts, 400_000):
-                part, own = b.slice(s, e - s), [t or "" for t in texts[s:e]]
+                part, own = b.slice(s, e - s), texts[s:e]
                 m = minima(own, width)
-                has = m[:, 0] != _EMPTY if len(m) else np.zeros(0, bool)
-                c = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if t else None for t in own]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(c, pa.binary()), lists(pack_bits(m), has), lists(band_keys(m, bands, rows), has)], schema.fieldNames())
+                has = (m != _EMPTY).any(1)
+                at = np.concatenate([[0], np.cumsum(np.where(has, _LONGS, 0))]).astype(np.int32)
+                sig = pa.ListArray.from_arrays(pa.array(at), pa.array(pack_bits(m[has]).reshape(-1)), mask=pa.array(~has))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([_class_hash(t) if t else None for t in own], pa.int64()), sig], schema.fieldNames())
+
+    return df.select("id", "by", "v", "text").mapInArrow(run, schema)
 
-    return df.select("id", "by", F.xxhash64("text").alias("v"), "text").mapInArrow(run, schema)
+
+def _buckets(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(key, c): the bands of every text; one that a partition has just seen is left out, so copies don't fill the buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            fresh: dict[int, str] = {}
+            for t in b.column(0).to_pylist():
+                if t and len(t := canonical(t)) >= width and (c := _class_hash(t)) not in seen:
+                    fresh[c] = t
+                    seen.add(c)
+            if len(seen) > 1_000_000:
+                seen = set()
+            texts, cs = list(fresh.values()), np.fromiter(fresh, np.int64, len(fresh))
+            for s, e in slices(texts, 400_000):
+                keys = band_keys(minima(texts[s:e], width), bands, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(cs[s:e], bands))], ["key", "c"])
+
+    return df.select("text").mapInArrow(run, "key long, c long")
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str, text: str, by: str | None = None, width: int = 5, threshold: float = 0.8, rows: int = 3, miss: float = 0.002, block: int = 1000
+    df: DataFrame, id_col: str, text: str, by: str | None = None, width: int = 5, threshold: float = 0.8, rows: int = 4, miss: float = 0.004, block: int = 1000
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts that share at least `threshold` of their pieces of `width` characters.
 
@@ -160,36 +178,35 @@ def near_duplicates(
 
     Bands of `rows` minima make candidates, so many that a pair at the threshold is missed with probability `miss` at most;
     packed low bits estimate their similarity, five standard errors below the threshold drop out, and the rest is compared
-    exactly. Buckets of more than `block` texts are compared block by block, so that no task gets a whole one.
+    exactly. Everything before that is done once for equal texts. Buckets of more than `block` texts are compared block by
+    block, so that no task gets a whole one.
     """
     bands = bands_for(threshold, rows, miss)
-    base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), (F.col(f"`{by}`") if by else F.lit(0)).alias("by")).where("id is not null")
-    signed = _signatures(base, width, bands, rows)
+    base = df.select(F.col(f"`{id_col}`").alias("id"), (F.col(f"`{by}`") if by else F.lit(0)).alias("by"), F.col(f"`{text}`").cast("string").alias("text"))
+    base = base.where("id is not null").withColumn("v", F.xxhash64("text"))
     newest = Window.partitionBy("id").orderBy(F.col("by").desc_nulls_last(), "v")
-    held = signed.withColumn("rn", F.row_number().over(newest)).where("rn = 1 and c is not null").drop("rn", "by")
+    held = _signatures(base, width).withColumn("rn", F.row_number().over(newest)).where("rn = 1 and c is not null").drop("rn", "by")
     held = stage(held, "signatures")
-
-    classes = held.groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    members = held.select("id", "c").join(classes, "c").select("id", "rep", "n")
-    reps = held.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-
-    key = reps.select("id", F.explode("bands").alias("key"))
-    many = key.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    many = stage(many.withColumn("s", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int")), "buckets")
-    x = many.select("key", F.col("id").alias("x"), "i", F.explode(F.sequence(F.col("i"), F.col("s") - 1)).alias("j"))
-    y = many.select("key", F.col("id").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
-    met = x.join(y, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    sig = held.select("id", "sig", "v")
-    likely = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("v").alias("va")), "a")
-    likely = likely.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("v").alias("vb")), "b")
+    classes = held.groupBy("c").agg(F.min("id").alias("rep"), F.min_by("v", "id").alias("v"), F.count("*").alias("n"), F.min_by("sig", "id").alias("sig"))
+    members = held.select("id", "c").join(classes.select("c", "rep", "n"), "c").select("id", "rep", "n")
+
+    met = _buckets(base, width, bands, rows).withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+    met = met.groupBy("key", "c").agg(F.first("m").alias("m")).withColumn("s", F.ceil(F.col("m") / block).cast("int"))
+    met = stage(met.withColumn("i", F.pmod(F.xxhash64("c"), F.col("s")).cast("int")).drop("m"), "buckets")
+    x = met.select("key", F.col("c").alias("x"), "i", F.explode(F.sequence(F.col("i"), F.col("s") - 1)).alias("j"))
+    y = met.select("key", F.col("c").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
+    both = x.join(y, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    pairs = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+    side = lambda k: classes.select(F.col("c").alias(k), F.col("sig").alias(f"s{k}"), F.struct(F.col("rep").alias("id"), "v").alias(f"r{k}"))
     slack = 5 * math.sqrt(threshold * (1 - threshold) / MINIMA) / (1 - 2.0**-BITS)
-    likely = stage(likely.where(estimate(F.col("sa"), F.col("sb")) >= threshold - slack).select("a", "va", "b", "vb"), "candidates")
+    likely = pairs.join(side("x"), "x").join(side("y"), "y").where(estimate(F.col("sx"), F.col("sy")) >= threshold - slack)
+    likely = stage(likely.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")), "candidates")
 
-    wanted = likely.select(F.col("a").alias("id"), F.col("va").alias("v")).union(likely.select("b", "vb")).distinct()
-    texts = base.select("id", "text", F.xxhash64("text").alias("v")).join(wanted, ["id", "v"], "left_semi").dropDuplicates(["id", "v"]).drop("v")
-    full = likely.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    wanted = likely.select("a.*").union(likely.select("b.*")).distinct()
+    texts = base.select("id", "v", "text").join(wanted, ["id", "v"], "left_semi").dropDuplicates(["id", "v"])
+    ends = lambda k: texts.select(F.struct("id", "v").alias(k), F.col("text").alias(f"t{k}"))
+    full = likely.join(ends("a"), "a").join(ends("b"), "b")
     schema = T.StructType([T.StructField("a", df.schema[id_col].dataType), T.StructField("b", df.schema[id_col].dataType), T.StructField("similarity", T.DoubleType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +214,7 @@ def near_duplicates(
             sims = [exact_similarity(canonical(p), canonical(q), width) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], schema.fieldNames())
 
-    links = full.select("a", "b", "ta", "tb").mapInArrow(compare, schema).where(F.col("similarity") >= threshold)
+    links = full.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "ta", "tb").mapInArrow(compare, schema).where(F.col("similarity") >= threshold)
     return members, links
 
 

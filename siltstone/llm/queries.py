@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, distinct, fusion, lookalike, neardup, packing, sentences, splitting
+from siltstone.llm import bpe, cluster, distinct, fusion, lookalike, neardup, packing, sentences, splitting
 from siltstone.staging import latest, spread
 
 
@@ -51,6 +51,29 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, cluster of each, description of each cluster)"""
+    columns = ["chunk_id", "text", "topic_id", "topic_label"]
+    records = latest(_table(spark, sf_dir, "enriched_chunks").select(*columns, "ingested_at"), "chunk_id", "ingested_at").where("text is not null").select(*columns)
+    assigned = cluster.clusters(spread(records), "chunk_id", "text")
+    # one spelling of a label: lower case, single spaces, parts in order
+    parts = F.array_sort(F.transform(F.split(F.lower("topic_label"), r"\|"), lambda x: F.trim(x)))
+    said = F.when(F.lower("topic_label").rlike(r"^(topic_\d+|outlier)?$"), None).otherwise(F.array_join(parts, " | "))
+    labels = records.select("chunk_id", "topic_id", said.alias("topic_label"))
+    return records, assigned, cluster.describe(assigned, "chunk_id", labels, ["topic_id", "topic_label"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, assigned, about = _clustered(spark, sf_dir)
+    fits = assigned.where("cluster is not null").join(about.select("cluster", F.col("topic_id").alias("fit")), "cluster").where("fit is not null")
+    out = records.select("chunk_id", "topic_id").join(fits, "chunk_id").where(~F.col("topic_id").eqNullSafe(F.col("fit")))
+    return out.select("chunk_id", F.col("fit").cast("int").alias("topic_id"))
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clustered(spark, sf_dir)[2]
+
+
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(spread(_table(spark, sf_dir, "chunks").select("chunk_id", "text", "ingested_at")), "chunk_id", "text", by="ingested_at")
 
@@ -124,6 +147,6 @@ def p9_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p3_found, p3_clusters, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
 
 ORACLE_SQL: dict[str, str] = {}
