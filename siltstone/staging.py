@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,23 @@ def _remove_staged() -> None:
                 shutil.rmtree(path, ignore_errors=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application, as they may not find it on their own path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="package-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(out))
+    _SHIPPED.add(app)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Before work in Python: as many partitions as cores at least. A scan of many files is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
