@@ -258,7 +258,8 @@ def directions(rows: DataFrame, idf: np.ndarray, dims: int, passes: int = 4) ->
     power, turned = np.linalg.eigh(q.T.astype(np.float64) @ z)
     order = np.argsort(-power)
     power = np.maximum(power[order], 1e-9)
-    drop = 1 + int(np.argmax(power[:_COMMON] / power[1 : _COMMON + 1]))
+    first = max(1, min(_COMMON, len(power) // 4))
+    drop = 1 + int(np.argmax(power[:first] / power[1 : first + 1]))
     return (q @ turned[:, order[drop:]]).astype(np.float32)
 
 

@@ -149,4 +149,27 @@ def p9_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p3_found, p3_clusters, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
 
-ORACLE_SQL: dict[str, str] = {}
+_RICH = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) rn FROM enriched_chunks) WHERE rn = 1)"
+
+_P1 = f"""WITH h AS (SELECT * FROM (SELECT claim_id, chunk_id, score, confidence_score, array_to_string(doc_ids, '|') AS docs, row_number() OVER (PARTITION BY claim_id, chunk_id ORDER BY ingested_at DESC) AS rn FROM retrieval_results) WHERE rn = 1),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY evaluated_at DESC) AS rn FROM eval_results) WHERE rn = 1),
+e AS (SELECT claim_id, unnest(enriched_top_doc_ids) AS docs, unnest(enriched_scores) AS enriched FROM r),
+w AS (SELECT h.claim_id, chunk_id, score, confidence_score, enriched FROM h LEFT JOIN e USING (claim_id, docs)),
+l AS (SELECT claim_id, chunk_id, 1 AS k, score AS x FROM w UNION ALL SELECT claim_id, chunk_id, 2, confidence_score FROM w UNION ALL SELECT claim_id, chunk_id, 3, enriched FROM w),
+n AS (SELECT *, rank() OVER v AS lo, count(*) OVER (PARTITION BY claim_id, k, x) AS ties, count(*) OVER (PARTITION BY claim_id, k) AS n FROM l WHERE x IS NOT NULL WINDOW v AS (PARTITION BY claim_id, k ORDER BY x)),
+p AS (SELECT claim_id, chunk_id, (lo + (ties - 1) / 2.0 - 0.5) / n AS p FROM n),
+z AS (SELECT claim_id, chunk_id, {fusion.probit_sql("CAST(p AS DOUBLE)", "::DOUBLE")} AS z FROM p),
+f AS (SELECT w.claim_id, w.chunk_id, round(avg(z), 9) AS fused, CAST(count(z) AS INT) AS n_scores FROM w LEFT JOIN z USING (claim_id, chunk_id) GROUP BY 1, 2),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY fused DESC NULLS LAST, chunk_id) AS INT) AS place FROM f)"""
+
+_P6 = f"""WITH t AS (SELECT chunk_id AS r, unnest(regexp_extract_all(lower(coalesce(text, '') || ' ' || coalesce(array_to_string(keywords, ' '), '')), '[a-z0-9]{{2,}}')) AS term FROM {_RICH}),
+j AS (SELECT r, term, count(*) AS tf FROM t GROUP BY 1, 2), s AS (SELECT r, sum(tf) AS size FROM j GROUP BY 1), m AS (SELECT sum(size ** 0.75) AS mass FROM s),
+c AS (SELECT term, sum(tf) AS total, count(*) AS df FROM j GROUP BY 1)"""
+
+#: The other problems aren't expressed in SQL; their tests hold them against brute force, round trips or known answers.
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": _P1 + " SELECT claim_id, chunk_id FROM o WHERE place <= 3",
+    "p1_ranking": _P1 + " SELECT claim_id, chunk_id, round(fused, 6) AS fused, n_scores, place FROM o",
+    "p6_found": _P6 + " SELECT r AS chunk_id, term FROM j JOIN c USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 8",
+    "p6_scores": _P6 + " SELECT r AS chunk_id, term, tf, df, round(round(greatest(0, ln(tf * mass / (total * size ** 0.75))), 9), 6) AS ppmi FROM j JOIN c USING (term) JOIN s USING (r), m",
+}

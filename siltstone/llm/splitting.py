@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from siltstone.llm import sentences
 
 # Characters that are a token each; a run of others without white space is one token.
-_SINGLE = "฀-๿　-ヿ一-鿿豈-﫿＀-￯"
+_SINGLE = r"฀-๿　-ヿ一-鿿豈-﫿＀-￯"
 _TOKEN = re.compile(rf"[{_SINGLE}]|[^\s{_SINGLE}]+")
 #: Java's \s is ASCII only; this is Python's, as both must count alike
-_JAVA_SPACE = r"\t-\r\x1c-\x20\x85   -     "
+_JAVA_SPACE = r"\t-\r\x1c-\x20\x85   -     　"
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 LEVELS = ("paragraph", "sentence", "token")
 
