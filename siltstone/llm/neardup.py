@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 from siltstone.llm.bpe import slices
 from siltstone.staging import stage
 
-FUNCTIONS, BINS, BITS = 12, 16, 4  # minima = FUNCTIONS * BINS, of each of which BITS low bits are kept
+FUNCTIONS, BINS = 16, 16  # minima = FUNCTIONS * BINS
 MINIMA = FUNCTIONS * BINS
-_LONGS = MINIMA * BITS // 64
+KEPT, BITS = 128, 4  # the signature has so many low bits of so many minima, those of the first functions
+_LONGS = KEPT * BITS // 64
 _EMPTY = np.uint32(0xFFFFFFFF)
 _RNG = np.random.default_rng(20)
 _ODD = (_RNG.integers(1, 1 << 62, FUNCTIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -52,13 +53,13 @@ def shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray
     return _mix(h[inside]), owner[inside]
 
 
-def minima(texts: list[str], width: int) -> np.ndarray:
-    """(texts, MINIMA) minima: each function's hashes fall into bins, of which each keeps its least; an empty bin takes the
+def minima(texts: list[str], width: int, functions: int = FUNCTIONS) -> np.ndarray:
+    """(texts, functions * BINS) minima: each function's hashes fall into bins, of which each keeps its least; an empty bin takes the
     next filled one's with an offset, so it agrees between two texts as often as that one does. No shingle: all _EMPTY."""
     x, owner = shingle_hashes(texts, width)
-    out = np.full((len(texts), FUNCTIONS, BINS), _EMPTY, np.uint32)
+    out = np.full((len(texts), functions, BINS), _EMPTY, np.uint32)
     slot = owner * BINS
-    for f in range(FUNCTIONS):
+    for f in range(functions):
         g = x * _ODD[f]
         g ^= g >> np.uint64(31)
         flat = np.full(len(texts) * BINS, _EMPTY, np.uint32)
@@ -75,11 +76,11 @@ def minima(texts: list[str], width: int) -> np.ndarray:
             moved = np.roll(some, -d, 2)
             filled = np.where(hole & (moved != _EMPTY), moved + np.uint32(0x9E3779B1 * d & 0xFFFFFFFF), filled)
         out[rows] = filled
-    return out.transpose(0, 2, 1).reshape(len(texts), MINIMA)
+    return out.transpose(0, 2, 1).reshape(len(texts), functions * BINS)
 
 
 def pack_bits(m: np.ndarray) -> np.ndarray:
-    """The low bits of the minima (mixed first, so that low bits are fair), packed into 64-bit numbers."""
+    """The low bits of KEPT minima (mixed first, so that low bits are fair), packed into 64-bit numbers."""
     low = (_mix(m.astype(np.uint64)) & np.uint64((1 << BITS) - 1)).reshape(len(m), _LONGS, 64 // BITS)
     shift = (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))[None, None, :]
     return np.bitwise_or.reduce(low << shift, axis=2).view(np.int64)
@@ -109,7 +110,7 @@ def estimate(a: Column, b: Column) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(lanes).cast("long"))
         differ = F.bit_count(x) if differ is None else differ + F.bit_count(x)
     chance = 2.0**-BITS
-    return ((1 - differ / F.lit(float(MINIMA))) - F.lit(chance)) / F.lit(1 - chance)
+    return ((1 - differ / F.lit(float(KEPT))) - F.lit(chance)) / F.lit(1 - chance)
 
 
 def exact_similarity(a: str, b: str, width: int) -> float:
@@ -135,7 +136,7 @@ def _signatures(df: DataFrame, width: int) -> DataFrame:
             texts = [canonical(t) if t else "" for t in b.column(3).to_pylist()]
             for s, e in slices(texts, 400_000):
                 part, own = b.slice(s, e - s), texts[s:e]
-                m = minima(own, width)
+                m = minima(own, width, KEPT // BINS)
                 has = (m != _EMPTY).any(1)
                 at = np.concatenate([[0], np.cumsum(np.where(has, _LONGS, 0))]).astype(np.int32)
                 sig = pa.ListArray.from_arrays(pa.array(at), pa.array(pack_bits(m[has]).reshape(-1)), mask=pa.array(~has))
@@ -165,8 +166,52 @@ def _buckets(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "key long, c long")
 
 
+def similarities(pairs: list[tuple[str, str]], width: int, threshold: float) -> list[float]:
+    """exact_similarity of many pairs, each text's pieces hashed and sorted once. Two pieces of one hash would change a count
+    by one; a similarity as near to the threshold as that is counted again on the pieces themselves."""
+    number = {t: i for i, t in enumerate(dict.fromkeys(t for p in pairs for t in p))}
+    h, owner = shingle_hashes(list(number), width)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[first], owner[first]
+    at = np.searchsorted(owner, np.arange(len(number) + 1))
+    out = []
+    for a, b in pairs:
+        i, j = number[a], number[b]
+        x, y = h[at[i] : at[i + 1]], h[at[j] : at[j + 1]]
+        if i == j or not len(x) or not len(y):
+            out.append(1.0 if i == j else 0.0)
+            continue
+        k = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int((y[k] == x).sum())
+        total = len(x) + len(y) - both
+        out.append(both / total if abs(both - threshold * total) > 4 else exact_similarity(a, b, width))
+    return out
+
+
+_FILTER_BITS = 1 << 24
+
+
+def _only_likely(df: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
+    """df without most rows whose `cols` aren't in `wanted`, before a shuffle of df: a bit table of fixed size (2 MB) is sent.
+
+    With very many wanted rows it lets more others pass; a join must follow.
+    """
+    spark, words = df.sparkSession, _FILTER_BITS // 64
+    at = F.pmod(F.xxhash64(*cols), F.lit(_FILTER_BITS))
+    bit = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    got = wanted.groupBy(F.floor(at / 64).cast("int").alias("w")).agg(F.bit_or(bit()).alias("b")).toArrow()
+    table = np.zeros(words, np.int64)
+    table[np.array(got.column("w"), np.int64)] = np.array(got.column("b"), np.int64)
+    one = spark.createDataFrame([(table.tolist(),)], "__bits array<long>")
+    hit = F.get("__bits", F.floor(at / 64).cast("int")).bitwiseAND(bit()) != 0
+    return df.join(F.broadcast(one), hit).select(*df.columns)
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str, text: str, by: str | None = None, width: int = 5, threshold: float = 0.8, rows: int = 4, miss: float = 0.004, block: int = 1000
+    df: DataFrame, id_col: str, text: str, by: str | None = None, width: int = 5, threshold: float = 0.8, rows: int = 5, miss: float = 0.02, block: int = 1000
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts that share at least `threshold` of their pieces of `width` characters.
 
@@ -177,7 +222,7 @@ def near_duplicates(
     blank texts and null ids are in neither. Texts too short for a piece only have equal texts. Empty tables give empty ones.
 
     Bands of `rows` minima make candidates, so many that a pair at the threshold is missed with probability `miss` at most;
-    packed low bits estimate their similarity, five standard errors below the threshold drop out, and the rest is compared
+    packed low bits estimate their similarity, three and a half standard errors below the threshold drop out, and the rest is compared
     exactly. Everything before that is done once for equal texts. Buckets of more than `block` texts are compared block by
     block, so that no task gets a whole one.
     """
@@ -199,20 +244,24 @@ def near_duplicates(
     pairs = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
     side = lambda k: classes.select(F.col("c").alias(k), F.col("sig").alias(f"s{k}"), F.struct(F.col("rep").alias("id"), "v").alias(f"r{k}"))
-    slack = 5 * math.sqrt(threshold * (1 - threshold) / MINIMA) / (1 - 2.0**-BITS)
+    slack = 3.5 * math.sqrt(threshold * (1 - threshold) / KEPT) / (1 - 2.0**-BITS)
     likely = pairs.join(side("x"), "x").join(side("y"), "y").where(estimate(F.col("sx"), F.col("sy")) >= threshold - slack)
     likely = stage(likely.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")), "candidates")
 
     wanted = likely.select("a.*").union(likely.select("b.*")).distinct()
-    texts = base.select("id", "v", "text").join(wanted, ["id", "v"], "left_semi").dropDuplicates(["id", "v"])
+    likely_texts = _only_likely(base.select("id", "v", "text"), wanted, ["id", "v"])
+    # wanted is distinct; a semi join would be moved below the filter
+    texts = likely_texts.join(wanted, ["id", "v"]).dropDuplicates(["id", "v"])
     ends = lambda k: texts.select(F.struct("id", "v").alias(k), F.col("text").alias(f"t{k}"))
     full = likely.join(ends("a"), "a").join(ends("b"), "b")
     schema = T.StructType([T.StructField("a", df.schema[id_col].dataType), T.StructField("b", df.schema[id_col].dataType), T.StructField("similarity", T.DoubleType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sims = [exact_similarity(canonical(p), canonical(q), width) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], schema.fieldNames())
+            for s in range(0, b.num_rows, 200):
+                part = b.slice(s, 200)
+                pairs = list(zip(*([canonical(t) for t in part.column(i).to_pylist()] for i in (2, 3))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similarities(pairs, width, threshold), pa.float64())], schema.fieldNames())
 
     links = full.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "ta", "tb").mapInArrow(compare, schema).where(F.col("similarity") >= threshold)
     return members, links
