@@ -35,4 +35,4 @@ def ppmi(df: DataFrame, record: str, term_array: str, alpha: float = 0.75, hot_r
     rest = flat.join(F.broadcast(common.select("t")), "t", "left_anti").join(rare, "t")
     score = F.log(F.col("tf") * F.col("mass") / (F.col("total") * F.pow(F.col("size").cast("double"), F.lit(alpha))))
     out = hot.unionByName(rest).crossJoin(F.broadcast(mass))  # mass is one number
-    return out.select(F.col("r").alias(record), F.col("t").alias("term"), "tf", "df", F.greatest(F.lit(0.0), F.round(score, 9)).alias("ppmi"))
+    return out.select(F.col("r").alias(record), F.col("t").alias("term"), "tf", "df", F.greatest(F.lit(0.0), score).alias("ppmi"))

@@ -171,5 +171,5 @@ ORACLE_SQL: dict[str, str] = {
     "p1_found": _P1 + " SELECT claim_id, chunk_id FROM o WHERE place <= 3",
     "p1_ranking": _P1 + " SELECT claim_id, chunk_id, round(fused, 6) AS fused, n_scores, place FROM o",
     "p6_found": _P6 + " SELECT r AS chunk_id, term FROM j JOIN c USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 8",
-    "p6_scores": _P6 + " SELECT r AS chunk_id, term, tf, df, round(round(greatest(0, ln(tf * mass / (total * size ** 0.75))), 9), 6) AS ppmi FROM j JOIN c USING (term) JOIN s USING (r), m",
+    "p6_scores": _P6 + " SELECT r AS chunk_id, term, tf, df, round(greatest(0, ln(tf * mass / (total * size ** 0.75))), 6) AS ppmi FROM j JOIN c USING (term) JOIN s USING (r), m",
 }
