@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.staging import stage
+
 # Coefficients of Acklam's rational approximation of the inverse normal distribution (relative error 1.15e-9).
 _A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 _B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
@@ -39,6 +41,69 @@ def probit(p: Column, name: str) -> Column:
     return F.expr(probit_sql(f"`{name}`"))
 
 
+def _pieces(df: DataFrame, by: list[str], x: str, cuts: int = 256) -> DataFrame:
+    """df with b, the number of quantiles of x in its group that aren't above x: equal values share a piece."""
+    parts = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    q = df.groupBy(*by).agg(F.percentile_approx(x, parts, F.lit(1000)).alias("cuts")).select(*[F.col(c).alias(f"q{c}") for c in by], "cuts")
+    same = None
+    for c in by:
+        one = F.col(c).eqNullSafe(F.col(f"q{c}"))
+        same = one if same is None else same & one
+    here = F.size(F.filter("cuts", lambda c: c <= F.col(x)))
+    return df.join(q, same).withColumn("b", F.when(F.col(x).isNull() | F.col("cuts").isNull(), -1).otherwise(here)).drop("cuts", *[f"q{c}" for c in by])
+
+
+def _with_counts(df: DataFrame, by: list[str], descending: bool = False) -> DataFrame:
+    """df with `before`, the rows of the group in the pieces before its piece, and n, those of the group."""
+    order = Window.partitionBy(*by).orderBy(F.col("b").desc() if descending else F.col("b")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = df.groupBy(*by, "b").agg(F.count("*").alias("m"))
+    counted = counted.select(*[F.col(c).alias(f"q{c}") for c in by], F.col("b").alias("qb"), F.coalesce(F.sum("m").over(order), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy(*by)).alias("n"))
+    same = F.col("b") == F.col("qb")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"q{c}"))
+    return df.join(counted, same).drop("qb", *[f"q{c}" for c in by])
+
+
+def _mean(z: list[Column], weights: list[float]) -> tuple[Column, Column]:
+    zero = F.lit(0.0)
+    top, low, n = zero, zero, F.lit(0)
+    for c, w in zip(z, weights):
+        top, low, n = top + F.coalesce(c * w, zero), low + F.when(c.isNotNull(), w).otherwise(0.0), n + c.isNotNull().cast("int")
+    return F.round(top / F.when(low != 0, low), 9), n
+
+
+def _ordinary(wide: DataFrame, weights: list[float]) -> DataFrame:
+    """(g, i, fused, n_scores, place) with all of a group in one place: one shuffle, one sort for each score and for the result."""
+    g, z, out = Window.partitionBy("g"), [], wide
+    for k in range(len(weights)):
+        w = g.orderBy(F.col(f"v{k}").asc_nulls_last())
+        ties = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        p = (F.rank().over(w) + (ties - 1) / 2 - 0.5) / F.count(f"v{k}").over(g)
+        out = out.withColumn(f"p{k}", F.when(F.col(f"v{k}").isNotNull(), p))
+        z.append(probit(F.col(f"p{k}"), f"p{k}"))
+    z = [F.when(F.col(f"p{k}").isNotNull(), c) for k, c in enumerate(z)]
+    fused, n = _mean(z, weights)
+    rows = out.select("g", "i", fused.alias("fused"), n.alias("n_scores"))
+    return rows.withColumn("place", F.row_number().over(g.orderBy(F.col("fused").desc_nulls_last(), "i")).cast("long"))
+
+
+def _hot(wide: DataFrame, weights: list[float]) -> DataFrame:
+    """The same for groups too large for one task: each score, and the result, is ranked piece by piece."""
+    rows = wide.withColumn("u", F.monotonically_increasing_id())
+    rows = stage(rows, "hot")  # so that the numbers stay
+    long = rows.select("g", "u", F.posexplode(F.array(*[F.col(f"v{k}") for k in range(len(weights))])).alias("k", "x")).where("x is not null")
+    cut = _with_counts(_pieces(long, ["g", "k"], "x"), ["g", "k"])
+    w = Window.partitionBy("g", "k", "b").orderBy("x")
+    ties = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    ranked = cut.withColumn("p", (F.col("before") + F.rank().over(w) + (ties - 1) / 2 - 0.5) / F.col("n"))
+    each = ranked.select("u", "k", probit(F.col("p"), "p").alias("z")).groupBy("u").agg(*[F.max(F.when(F.col("k") == k, F.col("z"))).alias(f"z{k}") for k in range(len(weights))])
+    fused, n = _mean([F.col(f"z{k}") for k in range(len(weights))], weights)
+    scored = rows.select("g", "i", "u").join(each, "u", "left").select("g", "i", fused.alias("fused"), n.alias("n_scores"))
+    placed = _with_counts(_pieces(scored, ["g"], "fused"), ["g"], descending=True)
+    by = Window.partitionBy("g", "b").orderBy(F.col("fused").desc_nulls_last(), "i")
+    return placed.select("g", "i", "fused", "n_scores", (F.col("before") + F.row_number().over(by)).alias("place"))
+
+
 def fuse(df: DataFrame, group: str, item: str, scores: dict[str, float], hot_rows: int = 500_000) -> DataFrame:
     """Rows (group, item, fused, n_scores, place), one per row of df.
 
@@ -48,42 +113,16 @@ def fuse(df: DataFrame, group: str, item: str, scores: dict[str, float], hot_row
     an item; an item without any score has fused null and comes last. A score that all items share gives 0 to all. Ties
     share their average rank. Repeated items are ranked each. A null group is a group. Other columns are not carried.
 
-    A group with more than `hot_rows` values of a score is cut at quantiles of the score and ranked piece by piece; the
-    rank stays exact, as equal values fall into one piece and the pieces' counts are added.
+    Groups of more than `hot_rows` rows are cut at quantiles and ranked piece by piece; ranks stay exact, as equal values
+    fall into one piece and the pieces' counts are added.
     """
     names = list(scores)
-    value = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in names}
-    wide = df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{item}`").alias("i"), F.array(*[value[c] for c in names]).alias("v"))
-    long = wide.select("g", "i", F.posexplode("v").alias("k", "x"))
     # -0.0 and 0.0 are one value
-    have = long.where("x is not null").withColumn("x", F.col("x") + F.lit(0.0))
-    sizes = have.groupBy("g", "k").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > hot_rows)
-    same = lambda a, b: a["g"].eqNullSafe(b["g"]) & (a["k"] == b["k"])
-    parts = F.array(*[F.lit(i / 256) for i in range(1, 256)])
-    cuts = have.join(hot, same(have, hot), "left_semi").groupBy("g", "k").agg(F.percentile_approx("x", parts, F.lit(1000)).alias("cuts"))
-    cut = have.alias("h").join(cuts.alias("c"), F.col("h.g").eqNullSafe(F.col("c.g")) & (F.col("h.k") == F.col("c.k")), "left")
-    piece = F.coalesce(F.size(F.filter("c.cuts", lambda c: c <= F.col("h.x"))), F.lit(0))
-    cut = cut.select("h.g", "h.i", "h.k", "h.x", F.when(F.col("c.cuts").isNull(), 0).otherwise(piece).alias("b"))
-    w = Window.partitionBy("g", "k", "b").orderBy("x")
-    full = Window.partitionBy("g", "k", "b")
-    local = cut.select("g", "i", "k", "b", F.rank().over(w).alias("lo"), F.cume_dist().over(w).alias("cd"), F.count("*").over(full).alias("m"))
-    pieces = cut.groupBy("g", "k", "b").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("g", "k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("g", "k")
-    pieces = pieces.select("g", "k", "b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(whole).alias("n"))
-    r = local.alias("l").join(pieces.alias("p"), F.col("l.g").eqNullSafe(F.col("p.g")) & (F.col("l.k") == F.col("p.k")) & (F.col("l.b") == F.col("p.b")))
-    rank = F.col("before") + (F.col("lo") + F.round(F.col("m") * F.col("cd"))) / 2
-    weight = F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(names) for x in (k, float(scores[c]))]), F.col("k"))
-    z = r.select("l.g", "l.i", "l.k", ((rank - 0.5) / F.col("n")).alias("p"))
-    z = z.select("g", "i", probit(F.col("p"), "p").alias("z"), weight.alias("w"))
-    fused = z.groupBy("g", "i").agg(F.sum(F.col("z") * F.col("w")).alias("s"), F.sum("w").alias("w"), F.count("*").alias("n"))
-    # items without any score, and the number of times an item is repeated
-    base = wide.groupBy("g", "i").agg(F.count("*").alias("copies"))
-    both = base.alias("a").join(fused.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")) & F.col("a.i").eqNullSafe(F.col("b.i")), "left")
-    out = both.select(
-        F.col("a.g").alias(group), F.col("a.i").alias(item), F.round(F.col("s") / F.col("w"), 9).alias("fused"),
-        (F.coalesce(F.col("n"), F.lit(0)) / F.col("copies")).cast("int").alias("n_scores"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    )
-    by = Window.partitionBy(group).orderBy(F.col("fused").desc_nulls_last(), item, "copy")
-    return out.withColumn("place", F.row_number().over(by)).drop("copy")
+    value = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias(f"v{k}") for k, c in enumerate(names)]
+    wide = df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{item}`").alias("i"), *value)
+    hot = wide.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > hot_rows).select(F.col("g").alias("hg"))
+    same, weights = F.col("g").eqNullSafe(F.col("hg")), [float(scores[c]) for c in names]
+    found = _ordinary(wide.join(hot, same, "left_anti"), weights)
+    if hot.limit(1).count():
+        found = found.unionByName(_hot(wide.join(hot, same, "left_semi"), weights))
+    return found.select(F.col("g").alias(group), F.col("i").alias(item), "fused", "n_scores", F.col("place").cast("int").alias("place"))
