@@ -46,7 +46,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float |
             names, qm = shared.value
             best: list[list[tuple[float, object]]] = [[] for _ in names]
             for b in batches:
-                for s in range(0, b.num_rows, 2000):
+                for s in range(0, b.num_rows if names else 0, 2000):
                     part = b.slice(s, 2000)
                     x = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
                     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)

@@ -116,6 +116,7 @@ def test_dense_topk_equals_brute_force(spark):
         sims = np.round(u @ u.T, 6)
         want = {(q, int(i)) for q in range(40) for i in sorted(range(300), key=lambda i: (-sims[q, i], i))[:4]}
         assert {(r.query_id, r.id) for r in got} == want
+    assert retrieve.dense_topk(df.limit(0).withColumnRenamed("id", "query_id"), df, 4).count() == 0
 
 
 def test_entity_boost(spark):
