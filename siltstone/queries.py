@@ -381,14 +381,14 @@ def dense_text_top3(spark, d):
     return _dense(spark, d, 3)
 
 
-@query(f"""WITH q AS (SELECT claim_id, w, len(w) AS need FROM (SELECT query_id AS claim_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) BETWEEN 2 AND 20)) AS w FROM (SELECT query_id, min(text) AS text FROM queries GROUP BY 1))),
+@query(f"""WITH q AS (SELECT claim_id, w, len(w) AS need FROM (SELECT query_id AS claim_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) BETWEEN 2 AND 20)) AS w FROM {_ASKED})),
 i AS (SELECT DISTINCT chunk_id, unnest(string_split_regex(lower(array_to_string(keywords, ' ')), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM {_RICH}),
 m AS (SELECT DISTINCT claim_id, chunk_id FROM (SELECT claim_id, unnest(w) AS t FROM q) JOIN i USING (t) WHERE length(t) BETWEEN 2 AND 20),
-o AS (SELECT claim_id, chunk_id AS id, CAST(len(list_intersect({_lex('q.text')}, {_lex("array_to_string(c.keywords, ' ')")})) AS INT) AS overlap FROM m JOIN (SELECT query_id AS claim_id, min(text) AS text FROM queries GROUP BY 1) q USING (claim_id) JOIN {_RICH} c USING (chunk_id)),
+o AS (SELECT claim_id, chunk_id AS id, CAST(len(list_intersect({_lex('q.text')}, {_lex("array_to_string(c.keywords, ' ')")})) AS INT) AS overlap FROM m JOIN (SELECT query_id AS claim_id, text FROM {_ASKED}) q USING (claim_id) JOIN {_RICH} c USING (chunk_id)),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY id) AS r FROM o) WHERE r <= 60)
 SELECT claim_id, id, overlap, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC, id DESC) AS INT) AS rank FROM f""")
 def lexical_rank(spark, d):
-    q = _t(spark, d, "queries").groupBy(F.col("query_id").alias("claim_id")).agg(F.min("text").alias("text"))
+    q = _asked(spark, d)
     rows = _newest(spark, d, "enriched_chunks").select(F.col("chunk_id").alias("id"), "keywords")
     return retrieve.lexical_hits(q, rows, ("keywords",), mode="any_token")
 
