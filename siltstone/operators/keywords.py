@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltstone.staging import stage
 
 #: The common English stop words that the short keyword lists leave out.
 STOP_WORDS = (
@@ -26,14 +31,15 @@ def tokens(text: Column, stop: list[str] | None = None) -> Column:
     return F.filter(found, lambda w: ~w.isin(STOP_WORDS if stop is None else stop))
 
 
-def top(df: DataFrame, keys: list[str], by: str, tie: str, n: int) -> DataFrame:
-    """The n rows of each key with the greatest `by`; ties by `tie`. New column: rank."""
+def top(df: DataFrame, keys: list[str], by: str, tie: str, n: int | None) -> DataFrame:
+    """The n rows of each key with the greatest `by`, all for None; ties by `tie`. New column: rank."""
     w = Window.partitionBy(*keys).orderBy(F.col(by).desc(), tie)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    out = df.withColumn("rank", F.row_number().over(w))
+    return out if n is None else out.where(F.col("rank") <= n)
 
 
-def class_tfidf(chunks: DataFrame, topic: str = "topic_id", text: str = "text", n: int = 5, stop: list[str] | None = None) -> DataFrame:
-    """(topic, term, weight, rank): terms of each topic >= 0 by share in the topic times ln(1 + words per topic / total)."""
+def class_tfidf(chunks: DataFrame, topic: str = "topic_id", text: str = "text", n: int | None = 5, stop: list[str] | None = None) -> DataFrame:
+    """(topic, term, weight, rank): the first n terms (None: all) of each topic >= 0 by share in the topic times ln(1 + words per topic / total)."""
     one = chunks.where(F.col(topic) >= 0).select(F.col(topic).alias("topic_id"), F.explode(tokens(F.col(text), stop)).alias("term"))
     tf = one.groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
     size = tf.groupBy("topic_id").agg(F.sum("tf").alias("size"))
@@ -70,25 +76,50 @@ def majority(df: DataFrame, key: str, value: str, position: str, out: str = "top
     return each.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(key, F.col(value).alias(out))
 
 
-def subtopics(chunks: DataFrame, terms: DataFrame, labels: DataFrame, window: int = 4, similar: float = 0.1, least: float = 0.01) -> DataFrame:
+def subtopics(
+    chunks: DataFrame, terms: DataFrame, labels: DataFrame, window: int = 4, similar: float = 0.1, least: float = 0.01, per: int = 1000
+) -> DataFrame:
     """(chunk_id, subtopics): topics that windows of `window` tokens resemble, with their share, greatest first.
 
     terms: (topic_id, term, weight) of all topics; labels: (topic_id, label, keywords). A window is the bag of its terms'
     weights; its cosine with a topic's weights counts if at least `similar`; sums over windows are divided by their total.
+    About `per` chunks at a time meet the weights of the terms they contain, once each, so that no row per window is shuffled.
     """
-    first = F.col("i") - F.lit(window - 1)
-    toks = chunks.select("chunk_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    at = toks.select("chunk_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "term"))
-    inside = F.sequence(F.greatest(first, F.lit(0)), F.greatest(F.least(F.col("i"), F.col("n") - window), F.lit(0)))
-    wins = at.select("chunk_id", "term", F.explode(inside).alias("win"))
-    bag = wins.groupBy("chunk_id", "win", "term").agg(F.count("*").alias("c"))
+    toks = stage(chunks.select("chunk_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0), "tokens")
+    blocks = max(1, -(-toks.count() // per))
+    toks = toks.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
     length = terms.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("tl"))
-    idf = terms.groupBy("term").agg(F.max("weight").alias("g"))
-    weighted = bag.join(idf, "term").withColumn("x", F.col("c") * F.col("g"))
-    lengths = weighted.groupBy("chunk_id", "win").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("wl"))
-    dots = weighted.join(terms, "term").groupBy("chunk_id", "win", "topic_id").agg(F.sum(F.col("x") * F.col("weight")).alias("d"))
-    sims = dots.join(lengths, ["chunk_id", "win"]).join(length, "topic_id").select("chunk_id", "topic_id", (F.col("d") / (F.col("wl") * F.col("tl"))).alias("s"))
-    sums = sims.where(F.col("s") >= similar).groupBy("chunk_id", "topic_id").agg(F.sum("s").alias("s"))
+    unit = terms.join(length, "topic_id").where("tl > 0").withColumn("u", F.col("weight") / F.col("tl"))
+    vectors = unit.groupBy("term").agg(F.max("weight").alias("g"), F.collect_list(F.struct("topic_id", "u")).alias("v"))
+    met = toks.select(F.col("block").alias("b"), F.explode("w").alias("term")).distinct().join(vectors, "term").select("b", "term", "g", "v")
+    schema = T.StructType([T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("topic_id", terms.schema["topic_id"].dataType), T.StructField("s", T.DoubleType())])
+
+    def resemble(texts: pa.Table, known: pa.Table) -> pa.Table:
+        kinds = [texts.schema.field("chunk_id").type, known.schema.field("v").type.value_type.field("topic_id").type, pa.float64()]
+        number = {t: i for i, t in enumerate(known.column("term").to_pylist())}
+        g = np.append(np.array(known.column("g").to_pylist(), np.float64), 0.0)  # the last one stands for terms of no topic
+        lists = known.column("v").combine_chunks()
+        own = np.repeat(np.arange(len(number)), np.array(lists.value_lengths(), np.int64))
+        flat = lists.flatten()
+        ids, at = np.unique(np.array(flat.field("topic_id"), np.int64), return_inverse=True)
+        weight = np.zeros((len(g), len(ids)))
+        weight[own, at] = np.array(flat.field("u"), np.float64) * g[own]
+        rows: list[tuple[object, int, float]] = []
+        for c, w in zip(texts.column("chunk_id").to_pylist(), texts.column("w").to_pylist()):
+            n = np.array([number.get(t, len(number)) for t in w])
+            wins, total = np.lib.stride_tricks.sliding_window_view(n, min(window, len(n))), np.zeros(len(ids))
+            for k in range(0, len(wins), 4096):
+                x = wins[k : k + 4096]
+                # a term that occurs c times in a window has (c * g) ** 2 of its squared length
+                long = np.sqrt(((x[:, :, None] == x[:, None, :]) * (g[x] ** 2)[:, :, None]).sum((1, 2)))
+                cos = sum(weight[x[:, j]] for j in range(x.shape[1])) / np.maximum(long, 1e-300)[:, None]
+                total += np.where(cos >= similar, cos, 0.0).sum(0)
+            rows += [(c, int(ids[j]), float(total[j])) for j in np.flatnonzero(total)]
+        cols = list(zip(*rows)) or [(), (), ()]
+        return pa.table([pa.array(x, t) for x, t in zip(cols, kinds)], names=schema.fieldNames())
+
+    sims = toks.groupBy("block").cogroup(met.groupBy("b")).applyInArrow(resemble, schema)
+    sums = sims.groupBy("chunk_id", "topic_id").agg(F.sum("s").alias("s"))
     share = F.round(F.col("s") / F.sum("s").over(Window.partitionBy("chunk_id")), 4)
     found = sums.withColumn("confidence", share).where(F.col("confidence") > least).join(labels, "topic_id")
     item = F.struct((-F.col("confidence")).alias("o"), "topic_id", "label", "keywords", "confidence")

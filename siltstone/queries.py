@@ -11,7 +11,7 @@ from siltstone.functions.vector import mean_by
 from siltstone.operators import chunkers, enrich, evaluate, keywords, retrieve, topics
 from siltstone.plans import ablation
 from siltstone.sources import corpus, files, store
-from siltstone.staging import latest, spread
+from siltstone.staging import latest, spread, stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -299,7 +299,7 @@ def tfidf_top10(spark, d):
 @query()
 def subtopics(spark, d):
     rich = _newest(spark, d, "enriched_chunks").select("chunk_id", "text", "topic_id")
-    terms = keywords.class_tfidf(rich, n=50)
+    terms = stage(keywords.class_tfidf(rich, n=None), "terms")
     names = keywords.keyword_arrays(terms.where("rank <= 4"), "topic_id").select("topic_id", F.array_join("keywords", " | ").alias("label"), "keywords")
     out = keywords.subtopics(rich, terms.select("topic_id", "term", "weight"), names)
     return out.select("chunk_id", F.size("subtopics").alias("n"), F.get("subtopics", 0)["topic_id"].alias("first"), F.get("subtopics", 0)["confidence"].alias("confidence"))

@@ -42,3 +42,12 @@ def test_equals_sql(spark, small, duck, name):
 def test_runs(spark, small, name):
     df = QUERIES[name](spark, small)
     assert df.limit(5).collect() is not None
+
+
+def test_subtopics_use_all_terms(spark, tmp_path):
+    common = " ".join(f"word{i:02}" for i in range(60))
+    rows = [("a", f"{common} {common}", 0), ("b", "rare1 rare2 rare3 rare4", 0), ("c", "other things entirely here", 1)]
+    table = spark.createDataFrame([(*r, 0) for r in rows], "chunk_id string, text string, topic_id int, ingested_at long")
+    table.write.parquet(f"{tmp_path}/enriched_chunks.parquet")
+    got = {r.chunk_id: r for r in QUERIES["subtopics"](spark, str(tmp_path)).collect()}
+    assert (got["b"].n, got["b"].first, got["b"].confidence) == (1, 0, 1.0)  # its terms are beyond the 50 strongest of topic 0
