@@ -210,12 +210,13 @@ def normalize(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, schema)
 
 
-def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text", full_group: int = 1000) -> DataFrame:
+def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text", full_group: int | None = None, block: int = 1000) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of rows whose texts look the same but aren't the same characters.
 
-    In a group of one look with at most `full_group` rows every such pair is given. In a larger one every row is paired
-    with the group's smallest id only, unless the two are exact copies: looking the same is an equivalence, so the group
-    stays connected and the result linear. Null texts and texts without a visible character have no pairs.
+    Every such pair is given; groups of one look of more than `block` rows are paired block by block, so that no task gets
+    a whole one. With `full_group`, in a larger group every row is paired with the smallest id only, unless the two are exact
+    copies, which then are in no pair and lose their links to other texts. Null texts and texts without a visible character
+    have no pairs.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     two = lambda c: F.struct(F.xxhash64(c), F.hash(F.reverse(c), c))  # noqa: E731 96 bits
@@ -225,8 +226,13 @@ def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text", f
     classes = keyed.groupBy("g", "c").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     groups = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows"), F.min_by("c", "rep").alias("rep_c"), F.min("rep").alias("rep")).where("kinds > 1")
     inside = keyed.join(groups, "g")
-    few = inside.where(F.col("rows") <= full_group).select("g", "id", "c")
-    b = few.select("g", F.col("id").alias("id_b"), F.col("c").alias("c_b"))
-    pairs = few.join(b, "g").where((F.col("c") != F.col("c_b")) & (F.col("id") < F.col("id_b"))).select(F.col("id").alias("id_a"), "id_b")
-    many = inside.where((F.col("rows") > full_group) & (F.col("c") != F.col("rep_c"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    return pairs.unionByName(many.where("id_a < id_b")).distinct()
+    few = inside if full_group is None else inside.where(F.col("rows") <= full_group)
+    few = few.withColumn("s", F.ceil(F.col("rows") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    a = few.select("g", F.col("id").alias("x"), F.col("c").alias("c_x"), "i", F.explode(F.sequence(F.col("i"), F.col("s") - 1)).alias("j"))
+    b = few.select("g", F.col("id").alias("y"), F.col("c").alias("c_y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
+    met = a.join(b, ["g", "i", "j"]).where((F.col("c_x") != F.col("c_y")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
+    pairs = met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    if full_group is not None:
+        many = inside.where((F.col("rows") > full_group) & (F.col("c") != F.col("rep_c"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+        pairs = pairs.unionByName(many.where("id_a < id_b"))
+    return pairs.where("id_a < id_b").distinct()

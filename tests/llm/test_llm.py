@@ -368,6 +368,14 @@ def test_look_alike(spark):
     assert lookalike.same_look_pairs(df.limit(0)).count() == 0
 
 
+def test_large_look_groups_are_whole(spark):
+    rows = [(i, "case") for i in range(1200)] + [(2000, "саsе"), (2001, "сase"), (2002, "cаse"), (2003, "casе")]
+    df = texts(spark, rows, "doc_id long, text string")
+    got = [(r.id_a, r.id_b) for r in lookalike.same_look_pairs(df).collect()]
+    true = {(i, v) for i in range(1200) for v in range(2000, 2004)} | {(v, w) for v in range(2000, 2004) for w in range(v + 1, 2004)}
+    assert len(got) == len(true) and set(got) == true
+
+
 def test_speller_keeps_to_one_alphabet():
     many = ["the same case of soap", "copy the paper"] * 50 + ["сорока поёт рано", "народ и река"] * 50
     counts = dict(lookalike.pair_counts(many))
