@@ -181,6 +181,36 @@ def cut_tree(n: np.ndarray, s: np.ndarray, merges: list[tuple[int, int]], cohere
     return size[taken], c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def loose(n: np.ndarray, s: np.ndarray, merges: list[tuple[int, int]], coherence: float, per: int) -> tuple[np.ndarray, int, list[int]]:
+    """(group of each leaf, number of groups, groups of more than `per` vectors) of the leaves whose own vectors are below `coherence`.
+
+    Others have -1. Leaves near in the tree of merges share a group as long as it has at most `per` vectors.
+    """
+    m = len(n)
+    bad = np.linalg.norm(s, axis=1) / np.maximum(n, 1) < coherence
+    size, group, big, count = np.concatenate([np.where(bad, n, 0), np.zeros(len(merges))]), np.full(m, -1), [], 0
+    for i, (a, b) in enumerate(merges):
+        size[m + i] = size[a] + size[b]
+    todo = [m + len(merges) - 1] if m else []
+    while todo:
+        x = todo.pop()
+        if not size[x]:
+            continue
+        if x >= m and size[x] > per:
+            todo += merges[x - m]
+            continue
+        below = [x]
+        while below:
+            y = below.pop()
+            if y >= m:
+                below += merges[y - m]
+            elif bad[y]:
+                group[y] = count
+        big += [count] if size[x] > per else []
+        count += 1
+    return group, count, big
+
+
 def _term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     c = Counter(_WORD.findall(text.lower())) if text else {}
     slots: Counter = Counter()
@@ -264,14 +294,16 @@ def directions(rows: DataFrame, idf: np.ndarray, dims: int, passes: int = 4) ->
 
 
 def clusters(
-    df: DataFrame, id_col: str, text: str, dims: int = 64, leaves: int = 1024, coherence: float = 0.66, least: int = 8, member: float = 0.35, fan: int = 8
+    df: DataFrame, id_col: str, text: str, dims: int = 64, leaves: int = 1024, coherence: float = 0.66, least: int = 8, member: float = 0.35, fan: int = 8, per: int = 2000
 ) -> DataFrame:
     """Rows (id, cluster, similarity), one per row of df with a text: its cluster, 0 the largest, and the cosine with its centroid.
 
     Texts become unit vectors of hashed, weighted words on their leading directions. Each partition's tree has at most
     `leaves` entries, and so have the trees merged from them, `fan` at a time, and the last one that comes to the driver.
     Ward's agglomeration is cut where a cluster's vectors have a mean cosine of at least `coherence` with their centroid; of
-    at least `least` texts. cluster is null where no centroid has a cosine of `member`, and for texts without a word.
+    at least `least` texts. The rows nearest to leaves that are below it themselves are clustered again, in groups of about
+    `per` rows of leaves that are near each other, with a radius that doesn't grow; a leaf of more rows has its own pass of
+    trees first. Their clusters have numbers behind those of the first pass, with gaps. cluster is null where no centroid has a cosine of `member`, and for texts without a word.
     Null texts have no row; repeated rows count each; ties between centroids go to the larger cluster. Empty tables give
     empty ones. Other columns are not carried.
     """
@@ -323,33 +355,85 @@ def clusters(
         return pd.DataFrame({"p": pdf["p"].iloc[0], "n": n, "s": [x.tobytes() for x in s], "r": tree.radius2})
 
     base_dim = base.shape[1]
-    features = rows.select("terms", "counts").mapInArrow(grow, "n double, s binary, r double").withColumn("p", F.spark_partition_id().cast("long"))
-    parts = rows.rdd.getNumPartitions()
-    features = stage(features, "leaves")  # numbers of partitions hold only where they are made
-    while parts > 1:
-        features = features.withColumn("p", F.floor(F.col("p") / fan)).groupBy("p").applyInPandas(merge, "p long, n double, s binary, r double")
-        parts = math.ceil(parts / fan)
-    last = features.collect()  # at most `leaves` rows
-    n = np.array([r["n"] for r in last])
-    s = np.array([np.frombuffer(r["s"]) for r in last]).reshape(len(last), base_dim)
-    _, centroids = cut_tree(n, s, ward(n, s) if len(n) > 1 else [], coherence, least)
-    centre = spark.sparkContext.broadcast(centroids.astype(np.float32))  # at most `leaves` rows
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (q, weight), c = shared.value, centre.value
-        for part, r in _batches(batches, weight, 1):
-            u = _unit(r.times(q))
-            if len(c):
-                cos = u @ c.T
-                best = cos.argmax(1)
-                top = cos[np.arange(len(u)), best]
-            else:
-                best, top = np.zeros(len(u), int), np.zeros(len(u))
-            none = top < member
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32), mask=none), pa.array(top.astype(np.float64), mask=none)], ["id", "cluster", "similarity"])
-
-    out = T.StructType([T.StructField(id_col, kind), T.StructField("cluster", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
-    return stage(rows.mapInArrow(assign, out), "assigned")
+    each = per  # a group's clusters have numbers of this distance, as it has fewer clusters than rows
+
+    def better(u: np.ndarray, c: np.ndarray, first: int, part: pa.RecordBatch | pa.Table) -> tuple[pa.Array, pa.Array]:
+        """The nearer of the cluster known so far and the nearest of the centroids c, numbered from `first`."""
+        had = np.array(part.column("similarity").to_pylist(), np.float64)
+        best, top = np.array([-1 if x is None else x for x in part.column("cluster").to_pylist()], np.int64), np.where(np.isnan(had), -2.0, had)
+        if len(c):
+            cos = u @ c.T
+            at = cos.argmax(1)
+            new = cos[np.arange(len(u)), at]
+            nearer = (new >= member) & (new > top)
+            best, top = np.where(nearer, first + at, best), np.where(nearer, new, top)
+        return pa.array(best.astype(np.int32), mask=best < 0), pa.array(top.astype(np.float64), mask=best < 0)
+
+    state = T.StructType([*schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
+    marked = T.StructType([*state.fields, T.StructField("group", T.IntegerType())])
+    out = T.StructType([T.StructField("id", kind), T.StructField("cluster", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
+
+    def leaf_entries(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        features = rows.select("terms", "counts").mapInArrow(grow, "n double, s binary, r double").withColumn("p", F.spark_partition_id().cast("long"))
+        parts = rows.rdd.getNumPartitions()
+        features = stage(features, "leaves")  # numbers of partitions hold only where they are made
+        while parts > 1:
+            features = features.withColumn("p", F.floor(F.col("p") / fan)).groupBy("p").applyInPandas(merge, "p long, n double, s binary, r double")
+            parts = math.ceil(parts / fan)
+        last = features.collect()  # at most `leaves` rows
+        return np.array([r["n"] for r in last]), np.array([np.frombuffer(r["s"]) for r in last]).reshape(len(last), base_dim)
+
+    def solve(rows: DataFrame, first: int) -> tuple[list[DataFrame], int]:
+        """Parts of the result for rows of `state`, and the next free number of a cluster."""
+        n, s = leaf_entries(rows)
+        merges = ward(n, s) if len(n) > 1 else []
+        _, centroids = cut_tree(n, s, merges, coherence, least)
+        group, count, big = loose(n, s, merges, coherence, per)
+        centre = spark.sparkContext.broadcast((centroids.astype(np.float32), _unit(s).astype(np.float32), group, len(n) < 2))  # at most `leaves` rows each
+        after = first + len(centroids)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (q, weight), (c, leaf, group, alone) = shared.value, centre.value
+            for part, r in _batches(batches, weight, 1):
+                u = _unit(r.times(q))
+                own = np.where(r.lens > 0, group[(u @ leaf.T).argmax(1)], -1) if len(leaf) else np.full(len(u), -1)
+                if alone:  # one leaf has all rows: parts of it by chance, or a further pass would find it again
+                    own = np.where(own < 0, own, np.random.default_rng(crc32(u.tobytes())).integers(0, 2, len(u)))
+                done = own < 0
+                keep = [pa.array([None if d else x for d, x in zip(done, part.column(i).to_pylist())], pa.binary()) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *keep, *better(u, c, first, part), pa.array(own.astype(np.int32), mask=done)], marked.fieldNames())
+
+        if len(n) < 2 and count:
+            count, big = 2, [0, 1] if n.sum() > per else []
+        met = stage(rows.mapInArrow(assign, marked), "assigned")
+        found = [met.where("group is null").select("id", "cluster", "similarity")]
+        if count > len(big):
+
+            def again(t: pa.Table) -> pa.Table:
+                q, weight = shared.value
+                r = _Rows(t.column("terms").to_pylist(), t.column("counts").to_pylist(), weight)
+                u = _unit(r.times(q).astype(np.float64))
+                tree = Tree(q.shape[1], len(u) + 1, min(0.3, 1 - coherence**2))
+                for v in u[r.lens > 0]:
+                    tree.insert(1.0, v)
+                n, s = tree.entries()
+                _, c = cut_tree(n, s, ward(n, s) if len(n) > 1 else [], coherence, least)
+                number, top = better(u, c, after + each * t.column("group")[0].as_py(), t)
+                return pa.table([t.column("id"), number, top], names=out.fieldNames())
+
+            found.append(stage(met.where(F.col("group").isNotNull() & ~F.col("group").isin(big)).groupBy("group").applyInArrow(again, out), "again"))
+        after += each * count
+        for b in big:
+            parts, after = solve(met.where(F.col("group") == b).select(state.fieldNames()), after)
+            found += parts
+        return found, after
+
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in state.fields[3:]]
+    found, _ = solve(rows.select("*", *empty), 0)
+    result = found[0]
+    for x in found[1:]:
+        result = result.unionByName(x)
+    return result.withColumnRenamed("id", id_col)
 
 
 def describe(assigned: DataFrame, id_col: str, labels: DataFrame, label_cols: list[str], typical: int = 3) -> DataFrame:

@@ -136,6 +136,13 @@ def test_clusters_find_subjects(spark):
     assert next(r.cluster for r in got if r.id == "blank") is None
 
 
+def test_rows_of_loose_leaves_are_clustered(spark):
+    rows = [(i, f"subject{chr(97 + i % 20) * 3} matter{chr(97 + i % 20) * 3} theme{chr(97 + i % 20) * 3}") for i in range(400)]
+    got = cluster.clusters(texts(spark, rows, "id long, text string").repartition(2), "id", "text", dims=32, leaves=8, coherence=0.8).collect()
+    assert len(got) == 400 and all(r.cluster is not None for r in got)
+    assert len({(r.id % 20, r.cluster) for r in got}) == 20 and len({r.cluster for r in got}) > 8  # no more than the leaves without a second pass
+
+
 def test_clusters_of_nothing(spark):
     assert cluster.clusters(texts(spark, []), "id", "text", dims=4).count() == 0
     assert cluster.clusters(texts(spark, [(1, None), (2, "")]), "id", "text", dims=4).collect()[0].cluster is None
