@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,49 +20,79 @@ TERMS = 1 << 14  # hashed terms
 _WORD = re.compile(r"[^\W\d_]{3,}|[぀-ヿ㐀-鿿฀-๿]{2}")
 _BLOCKS = 64
 _COMMON = 12  # at most so many leading directions are common to large parts of the texts
+_FALL = 2.0  # by so much at least strength falls behind them
+_GRID = float(1 << 20)  # sums of whole numbers of this fraction don't depend on their order
 
 
 class Tree:
-    """A cluster-feature tree over unit vectors. An entry is (n, sum of vectors); its squared radius is 1 - |sum / n|^2.
+    """A cluster-feature tree over directions. An entry is (n, sum of unit vectors); its direction is that of the sum.
 
-    A vector goes down to the nearest entry and joins it if the radius stays within the threshold; full nodes split at their
-    farthest pair. Beyond `most` leaf entries the threshold grows and the entries are inserted again. Trees are merged by
-    inserting the entries of one into the other.
+    A vector goes down to the entry of the nearest direction and joins it if their cosine is at least `near`; full nodes split
+    at their farthest pair. Beyond `most` leaf entries the lightest are set aside, down to three quarters of `most`, so that
+    leaves stay narrow however many vectors come. Trees are merged by inserting the entries of one into the other.
     """
 
     WIDTH = 24
 
-    def __init__(self, dim: int, most: int, radius2: float = 0.3):
-        self.dim, self.most, self.radius2 = dim, most, radius2
+    def __init__(self, dim: int, most: int, near: float):
+        self.dim, self.most, self.near = dim, most, near
         self._clear()
 
     def _clear(self) -> None:
         self.root, self.leaves = self._node(True), 0
 
     def _node(self, leaf: bool) -> dict:
-        return {"leaf": leaf, "k": 0, "n": np.zeros(self.WIDTH + 1), "s": np.zeros((self.WIDTH + 1, self.dim)), "c": np.zeros((self.WIDTH + 1, self.dim)), "child": []}
+        return {"leaf": leaf, "k": 0, "n": np.zeros(self.WIDTH + 1), "s": np.zeros((self.WIDTH + 1, self.dim)), "u": np.zeros((self.WIDTH + 1, self.dim)), "child": []}
+
+    def insert_many(self, v: np.ndarray) -> None:
+        """Insert unit vectors: those that join an entry side by side, the rest one by one in their order."""
+        rest, _ = self._join(self.root, v, np.arange(len(v)))
+        for i in np.sort(rest):
+            self.insert(1.0, v[i])
+
+    def _join(self, node: dict, v: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows that join no entry below node, sum of the others)"""
+        if not node["k"]:
+            return rows, np.zeros(self.dim)
+        cos = v[rows] @ node["u"][: node["k"]].T
+        at = cos.argmax(1)
+        left, total = [], np.zeros(self.dim)
+        for i in np.unique(at):
+            own = rows[at == i]
+            if node["leaf"]:
+                fits = cos[at == i, i] >= self.near
+                left.append(own[~fits])
+                n, s = int(fits.sum()), v[own[fits]].sum(0)
+            else:
+                rest, s = self._join(node["child"][i], v, own)
+                left.append(rest)
+                n = len(own) - len(rest)
+            if n:
+                self._grow(node, i, n, s)
+                total += s
+        return np.concatenate(left), total
+
+    def _grow(self, node: dict, i: int, n: float, s: np.ndarray) -> None:
+        node["n"][i] += n
+        node["s"][i] += s
+        node["u"][i] = node["s"][i] / max(np.linalg.norm(node["s"][i]), 1e-12)
 
     def insert(self, n: float, s: np.ndarray) -> None:
-        path, node, v = [], self.root, s / n
+        path, node, u = [], self.root, s / max(np.linalg.norm(s), 1e-12)
         while True:
-            k = node["k"]
-            i = -1
+            k, i = node["k"], -1
             if k:
-                c = node["c"][:k]
-                i = int(np.argmin(np.einsum("ij,ij->i", c, c) - 2 * (c @ v)))
+                cos = node["u"][:k] @ u
+                i = int(np.argmax(cos))
             if node["leaf"]:
                 break
             path.append((node, i))
             node = node["child"][i]
-        for up, i in path:
-            up["n"][i] += n
-            up["s"][i] += s
-            up["c"][i] = up["s"][i] / up["n"][i]
-        if i >= 0:
-            m, t = node["n"][i] + n, node["s"][i] + s
-            if 1 - float(t @ t) / (m * m) <= self.radius2:
-                node["n"][i], node["s"][i], node["c"][i] = m, t, t / m
-                return
+        for up, j in path:
+            self._grow(up, j, n, s)
+        if i >= 0 and cos[i] >= self.near:
+            self._grow(node, i, n, s)
+            return
         self._add(node, n, s, None)
         self.leaves += 1
         while node["k"] > self.WIDTH:
@@ -79,32 +108,35 @@ class Tree:
                     self._add(self.root, float(x["n"][: x["k"]].sum()), x["s"][: x["k"]].sum(0), x)
                 break
         if self.leaves > self.most:
-            self._rebuild()
+            n, s = self.entries()
+            heavy = np.lexsort((np.arange(len(n)), -n))[: max(1, 3 * self.most // 4)]
+            self._clear()
+            for i in heavy:
+                self.insert(float(n[i]), s[i])
 
     def _add(self, node: dict, n: float, s: np.ndarray, child: dict | None) -> None:
         k = node["k"]
-        node["n"][k], node["s"][k], node["c"][k] = n, s, s / n
+        node["n"][k], node["s"][k] = 0.0, 0.0
         if child is not None:
             node["child"].append(child)
         node["k"] = k + 1
+        self._grow(node, k, n, s)
 
     def _set(self, node: dict, i: int, child: dict) -> None:
         node["child"][i] = child
-        node["n"][i], node["s"][i] = child["n"][: child["k"]].sum(), child["s"][: child["k"]].sum(0)
-        node["c"][i] = node["s"][i] / node["n"][i]
+        node["n"][i], node["s"][i] = 0.0, 0.0
+        self._grow(node, i, float(child["n"][: child["k"]].sum()), child["s"][: child["k"]].sum(0))
 
     def _split(self, node: dict) -> tuple[dict, dict]:
         k = node["k"]
-        c = node["c"][:k]
-        q = np.einsum("ij,ij->i", c, c)
-        d = q[:, None] + q[None] - 2 * c @ c.T
-        a, b = np.unravel_index(int(np.argmax(d)), d.shape)
-        to_b = d[:, b] < d[:, a]
+        cos = node["u"][:k] @ node["u"][:k].T
+        a, b = np.unravel_index(int(np.argmin(cos)), cos.shape)
+        to_b = cos[:, b] > cos[:, a]
         if to_b.all() or not to_b.any():
             to_b = np.arange(k) >= k // 2
         out = self._node(node["leaf"]), self._node(node["leaf"])
         for i in range(k):
-            self._add(out[int(to_b[i])], node["n"][i], node["s"][i], None if node["leaf"] else node["child"][i])
+            self._add(out[int(to_b[i])], float(node["n"][i]), node["s"][i], None if node["leaf"] else node["child"][i])
         return out
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +151,6 @@ class Tree:
                 todo += x["child"]
         return np.concatenate(n), np.concatenate(s)
 
-    def _rebuild(self) -> None:
-        while self.leaves > 0.75 * self.most:
-            n, s = self.entries()
-            self.radius2 = min(1.0, self.radius2 * 1.08)
-            self._clear()
-            for i in np.argsort(-n, kind="stable"):
-                self.insert(float(n[i]), s[i])
-
 
 def ward(n: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
     """Merges (a, b) of Ward's agglomeration by nearest-neighbour chains; merge i makes number len(n) + i."""
@@ -162,53 +186,30 @@ def ward(n: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def cut_tree(n: np.ndarray, s: np.ndarray, merges: list[tuple[int, int]], coherence: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, unit centroids) of the largest subtrees whose vectors have a mean cosine of `coherence` with their centroid, and at least `least` vectors."""
+def cut_tree(n: np.ndarray, s: np.ndarray, merges: list[tuple[int, int]], coherence: float, least: float, sides: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, unit centroids) of the largest subtrees of at least `least` vectors that are one subject.
+
+    Their vectors have a mean cosine of `coherence` with their centroid, and the centroids of the two sides of their last merge
+    a cosine of `sides`, unless one side has under `least` vectors: else a small subject would vanish in a large one.
+    """
     m = len(n)
     size, total = np.concatenate([n, np.zeros(len(merges))]), np.concatenate([s, np.zeros((len(merges), s.shape[1]))])
     for i, (a, b) in enumerate(merges):
         size[m + i], total[m + i] = size[a] + size[b], total[a] + total[b]
+    norm = np.maximum(np.linalg.norm(total, axis=1), 1e-12)
     todo, taken = [m + len(merges) - 1] if m else [], []
     while todo:
         x = todo.pop()
-        if np.linalg.norm(total[x]) / size[x] >= coherence:
-            if size[x] >= least:
-                taken.append(x)
+        if size[x] < least:
+            continue
+        a, b = merges[x - m] if x >= m else (x, x)
+        agree = min(size[a], size[b]) < least or total[a] @ total[b] >= sides * norm[a] * norm[b]
+        if norm[x] >= coherence * size[x] and agree:
+            taken.append(x)
         elif x >= m:
-            todo += merges[x - m]
+            todo += (a, b)
     taken.sort(key=lambda x: (-size[x], x))
-    c = total[taken] if taken else np.zeros((0, s.shape[1]))
-    return size[taken], c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-
-
-def loose(n: np.ndarray, s: np.ndarray, merges: list[tuple[int, int]], coherence: float, per: int) -> tuple[np.ndarray, int, list[int]]:
-    """(group of each leaf, number of groups, groups of more than `per` vectors) of the leaves whose own vectors are below `coherence`.
-
-    Others have -1. Leaves near in the tree of merges share a group as long as it has at most `per` vectors.
-    """
-    m = len(n)
-    bad = np.linalg.norm(s, axis=1) / np.maximum(n, 1) < coherence
-    size, group, big, count = np.concatenate([np.where(bad, n, 0), np.zeros(len(merges))]), np.full(m, -1), [], 0
-    for i, (a, b) in enumerate(merges):
-        size[m + i] = size[a] + size[b]
-    todo = [m + len(merges) - 1] if m else []
-    while todo:
-        x = todo.pop()
-        if not size[x]:
-            continue
-        if x >= m and size[x] > per:
-            todo += merges[x - m]
-            continue
-        below = [x]
-        while below:
-            y = below.pop()
-            if y >= m:
-                below += merges[y - m]
-            elif bad[y]:
-                group[y] = count
-        big += [count] if size[x] > per else []
-        count += 1
-    return group, count, big
+    return size[taken], total[taken] / norm[taken][:, None]
 
 
 def _term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -240,12 +241,14 @@ class _Rows:
         return out
 
     def back(self, y: np.ndarray, out: np.ndarray) -> None:
+        """Add the transposed rows times y to out, as whole numbers, so that sums are the same in any order."""
         if not len(self.k):
             return
         order = np.argsort(self.k, kind="stable")
         k = self.k[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        out[k[first]] += np.add.reduceat(y[self.own[order]] * self.v[order][:, None], first, axis=0)
+        parts = np.rint(y[self.own[order]] * (self.v[order] * np.float32(_GRID))[:, None])
+        out[k[first]] += np.add.reduceat(parts, first, axis=0, dtype=np.float64)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray, at: int, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, _Rows]]:
@@ -255,69 +258,82 @@ def _batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray, at: int, rows:
             yield part, _Rows(part.column(at).to_pylist(), part.column(at + 1).to_pylist(), idf)
 
 
-def _unit(y: np.ndarray) -> np.ndarray:
-    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-
-
-def directions(rows: DataFrame, idf: np.ndarray, dims: int, passes: int = 4) -> np.ndarray:
+def directions(rows: DataFrame, idf: np.ndarray, dims: int, passes: int = 4, fan: int = 32) -> np.ndarray:
     """(TERMS, dims) projection of term rows on their leading directions by subspace iteration, one pass over `rows` each.
 
-    The directions before the steepest fall of strength among the first ones tell languages apart, not subjects, and are left out.
+    Directions that are much stronger than the rest tell languages and other registers apart, not subjects: those before the
+    steepest fall of strength among the first ones are left out where that fall is at least twofold. Sums over rows are exact
+    and so don't depend on partitions; they are added as a tree, `fan` at a time.
     """
     spark = rows.sparkSession
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((TERMS, dims + 1)))[0].astype(np.float32)
+    tasks = min(rows.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)  # of a staged table: no job
+    schema = "k int, p long, z binary"
     for turn in range(passes):
         shared = spark.sparkContext.broadcast((q, idf))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             base, weight = shared.value
-            z = np.zeros(base.shape, np.float32)
+            z = np.zeros(base.shape)
             for _, r in _batches(batches, weight, 0):
                 r.back(r.times(base), z)
-            blocks = [x.tobytes() for x in np.split(z, _BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], ["k", "z"])
+            blocks = [x.astype(np.int64).tobytes() for x in np.split(z, _BLOCKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.nulls(_BLOCKS, pa.int64()), pa.array(blocks, pa.binary())], ["k", "p", "z"])
 
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(pdf["z"]))
-            return pd.DataFrame({"k": pdf["k"].iloc[:1], "z": [total.tobytes()]})
+        def add(t: pa.Table) -> pa.Table:
+            total = np.zeros(len(t.column("z")[0].as_py()) // 8, np.int64)
+            for x in t.column("z"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+            return pa.table([t.column("k").slice(0, 1), t.column("p").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["k", "p", "z"])
 
-        parts = rows.select("terms", "counts").mapInArrow(run, "k int, z binary").groupBy("k").applyInPandas(add, "k int, z binary").orderBy("k").collect()
-        z = np.concatenate([np.frombuffer(p[1], np.float64) for p in parts]).reshape(TERMS, -1) if parts else np.zeros(q.shape)
+        parts, left = rows.select("terms", "counts").coalesce(tasks).mapInArrow(run, schema).withColumn("p", F.spark_partition_id().cast("long")), tasks
+        while True:
+            left = math.ceil(left / fan)
+            parts = parts.withColumn("p", F.floor(F.col("p") / fan) if left > 1 else F.lit(0).cast("long")).groupBy("k", "p").applyInArrow(add, schema)
+            if left == 1:
+                break
+        got = sorted((r["k"], r["z"]) for r in parts.collect())
+        z = np.concatenate([np.frombuffer(x, np.int64) for _, x in got]).reshape(TERMS, -1) / _GRID if got else np.zeros(q.shape)
         if turn < passes - 1:
             q = np.linalg.qr(z)[0].astype(np.float32)
     power, turned = np.linalg.eigh(q.T.astype(np.float64) @ z)
     order = np.argsort(-power)
     power = np.maximum(power[order], 1e-9)
     first = max(1, min(_COMMON, len(power) // 4))
-    drop = 1 + int(np.argmax(power[:first] / power[1 : first + 1]))
+    fall = power[:first] / power[1 : first + 1]
+    drop = 1 + int(np.argmax(fall)) if fall.max() >= _FALL else 0
     return (q @ turned[:, order[drop:]]).astype(np.float32)
 
 
 def clusters(
-    df: DataFrame, id_col: str, text: str, dims: int = 64, leaves: int = 1024, coherence: float = 0.66, least: int = 8, member: float = 0.35, fan: int = 8, per: int = 2000
+    df: DataFrame, id_col: str, text: str, dims: int = 64, leaves: int = 2048, near: float = 0.55, coherence: float = 0.66, least: int = 8, member: float = 0.2, fan: int = 8, per: int = 20_000
 ) -> DataFrame:
     """Rows (id, cluster, similarity), one per row of df with a text: its cluster, 0 the largest, and the cosine with its centroid.
 
-    Texts become unit vectors of hashed, weighted words on their leading directions. Each partition's tree has at most
-    `leaves` entries, and so have the trees merged from them, `fan` at a time, and the last one that comes to the driver.
-    Ward's agglomeration is cut where a cluster's vectors have a mean cosine of at least `coherence` with their centroid; of
-    at least `least` texts. The rows nearest to leaves that are below it themselves are clustered again, in groups of about
-    `per` rows of leaves that are near each other, with a radius that doesn't grow; a leaf of more rows has its own pass of
-    trees first. Their clusters have numbers behind those of the first pass, with gaps. cluster is null where no centroid has a cosine of `member`, and for texts without a word.
-    Null texts have no row; repeated rows count each; ties between centroids go to the larger cluster. Empty tables give
-    empty ones. Other columns are not carried.
+    Texts become unit vectors of hashed, weighted words, projected on their leading directions. Groups of about `per` rows,
+    by a hash of id and text, have a tree of at most `leaves` entries each; trees are merged `fan` at a time until one is
+    left, whose entries come to the driver. Ward's agglomeration is cut where a cluster's vectors have a mean cosine of at
+    least `coherence` with their centroid; of at least `least` texts. Then every row is assigned to the nearest centroid if
+    its cosine with it, times the square root of the part of the text on the directions, is at least `member`. If trees had
+    to set entries aside, rows that belong to none are clustered again by themselves, with numbers behind those so far, until
+    no entry is set aside or no row finds a cluster; so the bound of leaves loses none.
+
+    cluster is null for texts of no cluster and for texts without a word. Null texts have no row; repeated rows count each.
+    The result doesn't depend on the order of rows, on partitions or on cores: sums are exact, groups and merges have a fixed
+    order, ties between centroids go to the larger cluster. Empty tables give empty ones. Other columns are not carried.
     """
     spark = df.sparkSession
+    kind = df.schema[id_col].dataType
+    made = lambda *cols: T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), *(T.StructField(c, t) for c, t in cols)])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_term_counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], ["id", "terms", "counts"])
+            found = [_term_counts(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], ["id", "h", "terms", "counts"])
 
-    kind = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    rows = stage(texts.mapInArrow(words, schema), "terms")
+    texts = texts.select("id", F.xxhash64(F.col("id").cast("string"), "text").alias("h"), "text")
+    rows = stage(texts.mapInArrow(words, made(("terms", T.BinaryType()), ("counts", T.BinaryType()))), "terms")
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = np.zeros(TERMS, np.int64), 0
@@ -332,106 +348,86 @@ def clusters(
     df_of[list(met)] = list(met.values())
     idf = np.log((n_texts + 1) / (df_of + 1)).astype(np.float32)
     base = directions(rows, idf, dims)
+    dim = base.shape[1]
     shared = spark.sparkContext.broadcast((base, idf))  # of fixed size
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, weight = shared.value
-        tree = Tree(q.shape[1], leaves)
-        for _, r in _batches(batches, weight, 0):
-            for v in _unit(r.times(q)[r.lens > 0].astype(np.float64)):
-                tree.insert(1.0, v)
-        yield _entries(tree)
+        for part, r in _batches(batches, weight, 2):
+            y = r.times(q)
+            size = np.linalg.norm(y, axis=1)
+            none = size < 1e-6
+            unit = y / np.maximum(size, 1e-12)[:, None]
+            v = pa.array([None if x else u.tobytes() for x, u in zip(none, unit)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), v, pa.array(size.astype(np.float32))], ["id", "h", "v", "size"])
+
+    def grow(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("v", "ascending")])
+        tree = Tree(dim, leaves, near)
+        v = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
+        for s in range(0, len(v), 250):
+            tree.insert_many(v[s : s + 250])
+        return _entries(tree, t)
+
+    def merge(t: pa.Table) -> pa.Table:
+        n, s = np.array(t.column("n")), np.frombuffer(b"".join(t.column("s").to_pylist())).reshape(-1, dim)
+        tree = Tree(dim, leaves, near)
+        for i in np.lexsort((*s.T, -n)):
+            tree.insert(float(n[i]), s[i])
+        return _entries(tree, t)
 
-    def _entries(tree: Tree) -> pa.RecordBatch:
+    def _entries(tree: Tree, t: pa.Table) -> pa.Table:
         n, s = tree.entries()
-        return pa.RecordBatch.from_arrays([pa.array(n), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([tree.radius2] * len(n))], ["n", "s", "r"])
+        return pa.table([pa.array([t.column("p")[0].as_py()] * len(n), pa.int64()), pa.array(n), pa.array([x.tobytes() for x in s], pa.binary())], names=["p", "n", "s"])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(base_dim, leaves, float(pdf["r"].max()))
-        n, s = pdf["n"].to_numpy(), np.array([np.frombuffer(x) for x in pdf["s"]]).reshape(len(pdf), -1)
-        for i in sorted(range(len(n)), key=lambda i: (-n[i], pdf["s"].iloc[i])):
-            tree.insert(float(n[i]), s[i])
-        n, s = tree.entries()
-        return pd.DataFrame({"p": pdf["p"].iloc[0], "n": n, "s": [x.tobytes() for x in s], "r": tree.radius2})
-
-    base_dim = base.shape[1]
-    each = per  # a group's clusters have numbers of this distance, as it has fewer clusters than rows
-
-    def better(u: np.ndarray, c: np.ndarray, first: int, part: pa.RecordBatch | pa.Table) -> tuple[pa.Array, pa.Array]:
-        """The nearer of the cluster known so far and the nearest of the centroids c, numbered from `first`."""
-        had = np.array(part.column("similarity").to_pylist(), np.float64)
-        best, top = np.array([-1 if x is None else x for x in part.column("cluster").to_pylist()], np.int64), np.where(np.isnan(had), -2.0, had)
-        if len(c):
-            cos = u @ c.T
-            at = cos.argmax(1)
-            new = cos[np.arange(len(u)), at]
-            nearer = (new >= member) & (new > top)
-            best, top = np.where(nearer, first + at, best), np.where(nearer, new, top)
-        return pa.array(best.astype(np.int32), mask=best < 0), pa.array(top.astype(np.float64), mask=best < 0)
-
-    state = T.StructType([*schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
-    marked = T.StructType([*state.fields, T.StructField("group", T.IntegerType())])
-    out = T.StructType([T.StructField("id", kind), T.StructField("cluster", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
-
-    def leaf_entries(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        features = rows.select("terms", "counts").mapInArrow(grow, "n double, s binary, r double").withColumn("p", F.spark_partition_id().cast("long"))
-        parts = rows.rdd.getNumPartitions()
-        features = stage(features, "leaves")  # numbers of partitions hold only where they are made
+    def leaf_entries(rows: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = max(1, math.ceil(count / per))
+        keyed = rows.select("h", "v", F.pmod("h", F.lit(parts)).alias("p"))
+        features = keyed.groupBy("p").applyInArrow(grow, "p long, n double, s binary")
         while parts > 1:
-            features = features.withColumn("p", F.floor(F.col("p") / fan)).groupBy("p").applyInPandas(merge, "p long, n double, s binary, r double")
+            features = features.withColumn("p", F.floor(F.col("p") / fan)).groupBy("p").applyInArrow(merge, "p long, n double, s binary")
             parts = math.ceil(parts / fan)
         last = features.collect()  # at most `leaves` rows
-        return np.array([r["n"] for r in last]), np.array([np.frombuffer(r["s"]) for r in last]).reshape(len(last), base_dim)
-
-    def solve(rows: DataFrame, first: int) -> tuple[list[DataFrame], int]:
-        """Parts of the result for rows of `state`, and the next free number of a cluster."""
-        n, s = leaf_entries(rows)
-        merges = ward(n, s) if len(n) > 1 else []
-        _, centroids = cut_tree(n, s, merges, coherence, least)
-        group, count, big = loose(n, s, merges, coherence, per)
-        centre = spark.sparkContext.broadcast((centroids.astype(np.float32), _unit(s).astype(np.float32), group, len(n) < 2))  # at most `leaves` rows each
-        after = first + len(centroids)
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (q, weight), (c, leaf, group, alone) = shared.value, centre.value
-            for part, r in _batches(batches, weight, 1):
-                u = _unit(r.times(q))
-                own = np.where(r.lens > 0, group[(u @ leaf.T).argmax(1)], -1) if len(leaf) else np.full(len(u), -1)
-                if alone:  # one leaf has all rows: parts of it by chance, or a further pass would find it again
-                    own = np.where(own < 0, own, np.random.default_rng(crc32(u.tobytes())).integers(0, 2, len(u)))
-                done = own < 0
-                keep = [pa.array([None if d else x for d, x in zip(done, part.column(i).to_pylist())], pa.binary()) for i in (1, 2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *keep, *better(u, c, first, part), pa.array(own.astype(np.int32), mask=done)], marked.fieldNames())
-
-        if len(n) < 2 and count:
-            count, big = 2, [0, 1] if n.sum() > per else []
-        met = stage(rows.mapInArrow(assign, marked), "assigned")
-        found = [met.where("group is null").select("id", "cluster", "similarity")]
-        if count > len(big):
-
-            def again(t: pa.Table) -> pa.Table:
-                q, weight = shared.value
-                r = _Rows(t.column("terms").to_pylist(), t.column("counts").to_pylist(), weight)
-                u = _unit(r.times(q).astype(np.float64))
-                tree = Tree(q.shape[1], len(u) + 1, min(0.3, 1 - coherence**2))
-                for v in u[r.lens > 0]:
-                    tree.insert(1.0, v)
-                n, s = tree.entries()
-                _, c = cut_tree(n, s, ward(n, s) if len(n) > 1 else [], coherence, least)
-                number, top = better(u, c, after + each * t.column("group")[0].as_py(), t)
-                return pa.table([t.column("id"), number, top], names=out.fieldNames())
-
-            found.append(stage(met.where(F.col("group").isNotNull() & ~F.col("group").isin(big)).groupBy("group").applyInArrow(again, out), "again"))
-        after += each * count
-        for b in big:
-            parts, after = solve(met.where(F.col("group") == b).select(state.fieldNames()), after)
-            found += parts
-        return found, after
-
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in state.fields[3:]]
-    found, _ = solve(rows.select("*", *empty), 0)
-    result = found[0]
-    for x in found[1:]:
+        n, s = np.array([r["n"] for r in last]), np.array([np.frombuffer(r["s"]) for r in last]).reshape(len(last), dim)
+        order = np.lexsort((*s.T, -n))
+        return n[order], s[order]
+
+    left = stage(rows.mapInArrow(project, made(("v", T.BinaryType()), ("size", T.FloatType()))), "vectors")
+    out = made(("v", T.BinaryType()), ("size", T.FloatType()), ("cluster", T.IntegerType()), ("similarity", T.DoubleType()))
+    done, first = [left.where("v is null").select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("similarity"))], 0
+    left = left.where("v is not null")
+    count, whole = left.count(), False
+    while count and not whole:
+        n, s = leaf_entries(left, count)
+        _, found = cut_tree(n, s, ward(n, s) if len(n) > 1 else [], coherence, least)
+        if not len(found):
+            break
+        whole = n.sum() == count  # nothing was set aside
+        centre = spark.sparkContext.broadcast((found.astype(np.float32), first))  # at most `leaves` centroids
+
+        def assign(batches: Iterator[pa.RecordBatch], centre=centre) -> Iterator[pa.RecordBatch]:
+            c, start = centre.value
+            for b in batches:
+                for s in range(0, b.num_rows, 2000):
+                    part = b.slice(s, 2000)
+                    v = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float32).reshape(-1, c.shape[1])
+                    cos = v @ c.T
+                    at = cos.argmax(1)
+                    top = cos[np.arange(len(at)), at].astype(np.float64)
+                    none = top * np.sqrt(np.array(part.column(3), np.float64)) < member
+                    kept = pa.array([x if y else None for x, y in zip(part.column(2).to_pylist(), none)], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), kept, part.column(3), pa.array((start + at).astype(np.int32), mask=none), pa.array(top, mask=none)], out.fieldNames()
+                    )
+
+        met = stage(left.mapInArrow(assign, out), "assigned")
+        done.append(met.where("cluster is not null").select("id", "cluster", "similarity"))
+        left, first = met.where("cluster is null").select("id", "h", "v", "size"), first + len(found)
+        before, count = count, 0 if whole else left.count()
+        whole = whole or count == before
+    done.append(left.select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("similarity")))
+    result = done[0]
+    for x in done[1:]:
         result = result.unionByName(x)
     return result.withColumnRenamed("id", id_col)
 
@@ -439,7 +435,8 @@ def clusters(
 def describe(assigned: DataFrame, id_col: str, labels: DataFrame, label_cols: list[str], typical: int = 3) -> DataFrame:
     """Rows (cluster, size, typical, *label_cols): each cluster's size, its ids nearest to the centroid and its commonest labels.
 
-    labels has id_col and the label columns; null, empty and negative labels don't vote; ties go to the least label.
+    labels has id_col and the label columns. Null, empty and negative labels count together as no label; a cluster in which
+    that is commoner than each label has none (null). Ties go to a label, and to the least of them.
     """
     inside = assigned.where("cluster is not null")
     near = Window.partitionBy("cluster").orderBy(F.col("similarity").desc(), id_col)
@@ -447,9 +444,9 @@ def describe(assigned: DataFrame, id_col: str, labels: DataFrame, label_cols: li
     out = inside.groupBy("cluster").agg(F.count("*").alias("size"))
     out = out.join(best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.col(id_col).alias("i")))), lambda x: x["i"]).alias("typical")), "cluster")
     for c in label_cols:
-        votes = inside.join(labels.select(id_col, F.col(c).alias("label")), id_col).where("label is not null")
-        votes = votes.where(F.col("label") >= 0 if dict(labels.dtypes)[c] in ("int", "bigint") else F.col("label") != "")
+        real = F.col(c) >= 0 if dict(labels.dtypes)[c] in ("int", "bigint") else F.col(c) != ""
+        votes = inside.join(labels.select(id_col, F.when(real, F.col(c)).alias("label")), id_col)
         counted = votes.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-        top = Window.partitionBy("cluster").orderBy(F.col("n").desc(), "label")
+        top = Window.partitionBy("cluster").orderBy(F.col("n").desc(), F.col("label").asc_nulls_last())
         out = out.join(counted.withColumn("rn", F.row_number().over(top)).where("rn = 1").select("cluster", F.col("label").alias(c)), "cluster", "left")
     return out

@@ -136,11 +136,34 @@ def test_clusters_find_subjects(spark):
     assert next(r.cluster for r in got if r.id == "blank") is None
 
 
-def test_rows_of_loose_leaves_are_clustered(spark):
+def test_rows_of_entries_set_aside_are_clustered(spark):
     rows = [(i, f"subject{chr(97 + i % 20) * 3} matter{chr(97 + i % 20) * 3} theme{chr(97 + i % 20) * 3}") for i in range(400)]
     got = cluster.clusters(texts(spark, rows, "id long, text string").repartition(2), "id", "text", dims=32, leaves=8, coherence=0.8).collect()
     assert len(got) == 400 and all(r.cluster is not None for r in got)
-    assert len({(r.id % 20, r.cluster) for r in got}) == 20 and len({r.cluster for r in got}) > 8  # no more than the leaves without a second pass
+    assert len({(r.id % 20, r.cluster) for r in got}) == 20 and len({r.cluster for r in got}) > 8  # no more than the leaves without further passes
+
+
+def test_clusters_do_not_depend_on_order_or_partitions(spark):
+    rng = random.Random(5)
+    subject = [["".join(rng.choice("qrstuvwx") for _ in range(8)) for _ in range(12)] for _ in range(6)]
+    rows = [(i, " ".join(rng.sample(subject[i % 6], 7) + [f"noise{rng.randint(0, 50)}x"])) for i in range(600)]
+    run = lambda df: sorted(cluster.clusters(df, "id", "text", dims=16, leaves=20, per=100).collect())
+    first = run(texts(spark, rows).repartition(2))
+    assert run(texts(spark, rows[::-1]).repartition(7, "id")) == first and len({r.cluster for r in first}) >= 6
+
+
+def test_small_subject_beside_a_large_one():
+    u = np.eye(4)
+    n, s = np.array([1000.0, 1000.0, 9.0]), np.array([1000 * u[0], 1000 * (u[0] + 0.1 * u[1]), 9 * u[2]])
+    size, centre = cluster.cut_tree(n, s, cluster.ward(n, s), 0.66, 8)
+    assert size.tolist() == [2000, 9] and abs(centre[1] @ u[2]) > 0.99
+
+
+def test_no_label_wins_where_it_is_commonest(spark):
+    got = spark.createDataFrame([(i, i // 10, 0.5) for i in range(20)], "id long, cluster int, similarity double")
+    labels = spark.createDataFrame([(i, -1 if i < 6 else None if i < 8 else 3, "x" if i != 11 else "") for i in range(20)], "id long, t int, l string")
+    out = {r.cluster: r for r in cluster.describe(got, "id", labels, ["t", "l"]).collect()}
+    assert out[0].t is None and out[1].t == 3 and out[1].l == "x" and out[0]["size"] == 10 and out[0].typical == [0, 1, 2]
 
 
 def test_clusters_of_nothing(spark):
@@ -152,11 +175,18 @@ def test_tree_keeps_counts_and_ward_orders():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((500, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    tree = cluster.Tree(6, 40)
-    for v in x:
-        tree.insert(1.0, v)
-    n, s = tree.entries()
-    assert len(n) <= 40 and n.sum() == 500 and np.allclose(s.sum(0), x.sum(0))
+    for many in (False, True):
+        tree = cluster.Tree(6, 400, 0.8)
+        for i in range(0, 500, 50):
+            if many:
+                tree.insert_many(x[i : i + 50])
+            else:
+                [tree.insert(1.0, v) for v in x[i : i + 50]]
+        n, s = tree.entries()
+        assert len(n) == tree.leaves <= 400 and n.sum() == 500 and np.allclose(s.sum(0), x.sum(0))
+    tight = cluster.Tree(6, 20, 0.9)
+    tight.insert_many(x)
+    assert tight.leaves <= 20 and tight.entries()[0].sum() < 500
     merges = cluster.ward(np.ones(4), np.array([[0.0], [0.1], [5.0], [5.1]]))
     assert {frozenset(m) for m in merges[:2]} == {frozenset((0, 1)), frozenset((2, 3))}
 
