@@ -16,12 +16,14 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests), a folder of this machine."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine, for a local master only."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="staging-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -88,6 +90,23 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
+def often(df: DataFrame, on: list[str], most: int = 10_000, least: int = 100_000) -> DataFrame:
+    """Keys (on, n) with more than one in `most` of the rows of df and more than `least` rows: fewer than `most`, whatever df has."""
+    counts = df.groupBy(*on).agg(F.count("*").alias("n"))
+    limit = max(least, df.count() // most)
+    return counts.where(F.col("n") > limit)
+
+
+def join_spread(df: DataFrame, other: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """df joined with other, which has one row per key, so that no task gets all rows of a frequent key.
+
+    hot: such keys, few (see often). Their rows of `other` are broadcast; the rest is shuffled.
+    """
+    keys = F.broadcast(hot.select(*on))
+    rest = df.join(keys, on, "left_anti").join(other.join(keys, on, "left_anti"), on)
+    return df.join(F.broadcast(other.join(keys, on, "left_semi")), on).unionByName(rest)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have."""
     name, have = f"__{stem}", {c.lower() for c in df.columns}
