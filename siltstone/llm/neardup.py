@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.bpe import slices
-from siltstone.staging import stage
+from siltstone.staging import join_spread, often, stage
 
-FUNCTIONS, BINS = 16, 16  # minima = FUNCTIONS * BINS
-MINIMA = FUNCTIONS * BINS
+FUNCTIONS, BINS = 16, 16  # minima = FUNCTIONS * BINS, unless bands need more
+MOST = 256  # functions
 KEPT, BITS = 128, 4  # the signature has so many low bits of so many minima, those of the first functions
 _LONGS = KEPT * BITS // 64
 _EMPTY = np.uint32(0xFFFFFFFF)
 _RNG = np.random.default_rng(20)
-_ODD = (_RNG.integers(1, 1 << 62, FUNCTIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ODD = (_RNG.integers(1, 1 << 62, MOST, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _BAND_ODD = (_RNG.integers(1, 1 << 62, 16, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +88,10 @@ def pack_bits(m: np.ndarray) -> np.ndarray:
 
 def bands_for(threshold: float, rows: int, miss: float) -> int:
     """So many bands that a pair at the threshold shares none with a probability of at most `miss`."""
-    return min(MINIMA // rows, math.ceil(math.log(miss) / math.log(1 - threshold**rows)))
+    bands = math.ceil(math.log(miss) / math.log(1 - threshold**rows))
+    if bands * rows > MOST * BINS:
+        raise ValueError(f"{bands} bands of {rows} minima are needed, {MOST * BINS} minima can be had: take fewer rows")
+    return bands
 
 
 def band_keys(m: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -127,43 +130,87 @@ def _class_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _signatures(df: DataFrame, width: int) -> DataFrame:
-    """(id, by, v, c, sig): df has id, by, v, text; c is a hash of the canonical text. Null and blank texts: c null; no shingle: sig null."""
-    schema = T.StructType([df.schema["id"], df.schema["by"], df.schema["v"], T.StructField("c", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))])
+def _read(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(id, by, v, c, sig, keys) of df's (id, by, v, text): one pass over the texts.
+
+    c is a hash of the canonical text, null for null and blank ones; sig its signature, null without a shingle; keys its bands,
+    null for a text that the partition has just seen, so that copies don't fill the buckets.
+    """
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([df.schema["id"], df.schema["by"], df.schema["v"], *(T.StructField(c, t) for c, t in (("c", T.LongType()), ("sig", longs), ("keys", longs)))])
+    functions = max(KEPT // BINS, math.ceil(bands * rows / BINS))
+
+    def lists(values: np.ndarray, has: np.ndarray) -> pa.Array:
+        at = np.concatenate([[0], np.cumsum(np.where(has, values.shape[1], 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(values.reshape(-1)), mask=pa.array(~has))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             texts = [canonical(t) if t else "" for t in b.column(3).to_pylist()]
             for s, e in slices(texts, 400_000):
                 part, own = b.slice(s, e - s), texts[s:e]
-                m = minima(own, width, KEPT // BINS)
+                cs = [_class_hash(t) if t else None for t in own]
+                m = minima(own, width, functions)
                 has = (m != _EMPTY).any(1)
-                at = np.concatenate([[0], np.cumsum(np.where(has, _LONGS, 0))]).astype(np.int32)
-                sig = pa.ListArray.from_arrays(pa.array(at), pa.array(pack_bits(m[has]).reshape(-1)), mask=pa.array(~has))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([_class_hash(t) if t else None for t in own], pa.int64()), sig], schema.fieldNames())
+                fresh = has.copy()
+                for i, c in enumerate(cs):
+                    fresh[i] = fresh[i] and c not in seen
+                    seen.add(c)
+                if len(seen) > 1_000_000:
+                    seen = set()
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(cs, pa.int64()), lists(pack_bits(m[has, :KEPT]), has), lists(band_keys(m[fresh], bands, rows), fresh)], schema.fieldNames()
+                )
 
     return df.select("id", "by", "v", "text").mapInArrow(run, schema)
 
 
-def _buckets(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(key, c): the bands of every text; one that a partition has just seen is left out, so copies don't fill the buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            fresh: dict[int, str] = {}
-            for t in b.column(0).to_pylist():
-                if t and len(t := canonical(t)) >= width and (c := _class_hash(t)) not in seen:
-                    fresh[c] = t
-                    seen.add(c)
-            if len(seen) > 1_000_000:
-                seen = set()
-            texts, cs = list(fresh.values()), np.fromiter(fresh, np.int64, len(fresh))
-            for s, e in slices(texts, 400_000):
-                keys = band_keys(minima(texts[s:e], width), bands, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(cs[s:e], bands))], ["key", "c"])
-
-    return df.select("text").mapInArrow(run, "key long, c long")
+def agreeing(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a and b, packed signatures, whose estimated similarity is at least `least`. Counts bits."""
+    most = math.floor(KEPT * (1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)) + 1e-9)
+    lanes, out = np.uint64(int("1" * (64 // BITS), 16)), []
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    for s in range(0, len(a), 256):
+        differ = np.zeros((min(256, len(a) - s), len(b)), np.uint16)
+        for i in range(_LONGS):
+            x = a[s : s + 256, i, None] ^ b[None, :, i]
+            x |= x >> np.uint64(2)
+            x |= x >> np.uint64(1)
+            differ += np.bitwise_count(x & lanes)
+        at = np.nonzero(differ <= most)
+        out.append((at[0] + s, at[1]))
+    return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _crowded(met: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
+    """Likely pairs (x, y) of the buckets of met(key, c), any of which may be large: rows of a bucket are split into blocks
+    by a hash, two blocks at a time meet in a task, and only pairs whose signatures agree leave it."""
+    r, parts = F.pmod(F.xxhash64("c"), F.lit(64)).alias("r"), 64
+    sizes = met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    spreads = sizes.withColumn("s", F.ceil(F.col("m") / block).cast("int")).select("key", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("r"))
+    rows = met.select("key", "c", r).join(spreads, ["key", "r"]).withColumn("i", F.pmod(F.xxhash64("c", F.lit(1)), F.col("s")).cast("int"))
+    rows = rows.join(classes.select("c", "sig"), "c").where("sig is not null")
+    # block i meets every block j >= i: it is there as the first and as the second
+    first = rows.select("key", "c", "sig", "i", F.explode(F.sequence(F.col("i"), F.col("s") - 1)).alias("j"), F.lit(True).alias("left"))
+    second = rows.select("key", "c", "sig", F.explode(F.sequence(F.lit(0), F.col("i"))).alias("k"), "i", F.lit(False).alias("left"))
+    both = first.unionByName(second.select("key", "c", "sig", F.col("k").alias("i"), F.col("i").alias("j"), "left").where("i < j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        c, left = np.array(t.column("c")), np.array(t.column("left"), bool)
+        sig = np.array(t.column("sig").combine_chunks().flatten(), np.int64).reshape(len(c), _LONGS)
+        if t.column("i")[0].as_py() == t.column("j")[0].as_py():
+            x, y = agreeing(sig, sig, least)
+            a, b = c[x], c[y]
+        else:
+            x, y = agreeing(sig[left], sig[~left], least)
+            a, b = c[left][x], c[~left][y]
+        some = a != b
+        a, b = np.minimum(a, b)[some], np.maximum(a, b)[some]
+        pairs = np.unique(np.stack([a, b]), axis=1)
+        return pa.table([pairs[0], pairs[1]], names=["x", "y"])
+
+    return both.groupBy("key", "i", "j").applyInArrow(compare, "x long, y long")
 
 
 def similarities(pairs: list[tuple[str, str]], width: int, threshold: float) -> list[float]:
@@ -215,36 +262,51 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts that share at least `threshold` of their pieces of `width` characters.
 
-    members(id, rep, n): each id with visible text and the smallest id of an equal text (after lower-casing and making
-    white space one), which stands for its n copies. links(a, b, similarity): pairs of different representatives, a < b,
-    with their exact similarity. With `by`, of the rows of an id the one with the greatest `by` holds (null least; further
-    ties by a hash of the text); without, repeated rows of an id must have equal texts, or one of them is taken. Null and
-    blank texts and null ids are in neither. Texts too short for a piece only have equal texts. Empty tables give empty ones.
-
-    Bands of `rows` minima make candidates, so many that a pair at the threshold is missed with probability `miss` at most;
-    packed low bits estimate their similarity, three and a half standard errors below the threshold drop out, and the rest is compared
-    exactly. Everything before that is done once for equal texts. Buckets of more than `block` texts are compared block by
-    block, so that no task gets a whole one.
+    members(id, rep, n, v, first, copies): each id with visible text; rep, the smallest id of an equal text (after lower-casing
+    and making white space one), stands for its n members; v is a hash of the text as it is, first the smallest of the `copies`
+    ids with exactly that text. links(a, b, similarity): pairs of different representatives, a < b, with their exact
+    similarity. With `by`, of the rows of an id the one with the greatest `by` holds (null least; further ties by a hash of
+    the text); without, repeated rows of an id must have equal texts, or one of them is taken. Null and blank texts and null
+    ids are in neither. Texts too short for a piece only have equal texts. Empty tables give empty ones.
+
+    Bands of `rows` minima make candidates, so many that a pair at the threshold is missed with probability `miss` at most (more
+    than there are minima for: ValueError); packed low bits estimate their similarity, three and a half standard errors below
+    the threshold drop out, and the rest is compared exactly. Everything before that is done once for equal texts. Bands that
+    may have more than `block` texts, found by counts of coarser keys, are compared in blocks by their signatures, so that no
+    task gets a whole one and only likely pairs come out of it.
     """
     bands = bands_for(threshold, rows, miss)
     base = df.select(F.col(f"`{id_col}`").alias("id"), (F.col(f"`{by}`") if by else F.lit(0)).alias("by"), F.col(f"`{text}`").cast("string").alias("text"))
     base = base.where("id is not null").withColumn("v", F.xxhash64("text"))
+    read = stage(_read(base, width, bands, rows), "signatures")
     newest = Window.partitionBy("id").orderBy(F.col("by").desc_nulls_last(), "v")
-    held = _signatures(base, width).withColumn("rn", F.row_number().over(newest)).where("rn = 1 and c is not null").drop("rn", "by")
-    held = stage(held, "signatures")
-    classes = held.groupBy("c").agg(F.min("id").alias("rep"), F.min_by("v", "id").alias("v"), F.count("*").alias("n"), F.min_by("sig", "id").alias("sig"))
-    members = held.select("id", "c").join(classes.select("c", "rep", "n"), "c").select("id", "rep", "n")
-
-    met = _buckets(base, width, bands, rows).withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    met = met.groupBy("key", "c").agg(F.first("m").alias("m")).withColumn("s", F.ceil(F.col("m") / block).cast("int"))
-    met = stage(met.withColumn("i", F.pmod(F.xxhash64("c"), F.col("s")).cast("int")).drop("m"), "buckets")
-    x = met.select("key", F.col("c").alias("x"), "i", F.explode(F.sequence(F.col("i"), F.col("s") - 1)).alias("j"))
-    y = met.select("key", F.col("c").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
-    both = x.join(y, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    pairs = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-    side = lambda k: classes.select(F.col("c").alias(k), F.col("sig").alias(f"s{k}"), F.struct(F.col("rep").alias("id"), "v").alias(f"r{k}"))
+    held = read.select("id", "by", "v", "c", "sig").withColumn("rn", F.row_number().over(newest)).where("rn = 1 and c is not null").drop("rn", "by")
+    held = stage(held, "held")
+    classes = held.groupBy("c").agg(F.min("id").alias("rep"), F.min_by("v", "id").alias("v"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    exact = held.groupBy("c", "v").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    hot = often(held, ["c"])
+    members = join_spread(held.select("id", "c", "v"), classes.select("c", "rep", "n"), ["c"], hot)
+    members = join_spread(members, exact, ["c", "v"], often(held, ["c", "v"])).select("id", "rep", "n", "v", "first", "copies")
+
+    keys = read.where("keys is not null").select("c", F.explode("keys").alias("key"))
+    total = read.agg(F.count("keys")).first()[0] * bands
+    coarse = F.pmod("key", F.lit(max(1, 8 * total // block))).alias("z")
+    full = keys.groupBy(coarse).agg(F.count("*").alias("n")).where(F.col("n") > block).select("z")
     slack = 3.5 * math.sqrt(threshold * (1 - threshold) / KEPT) / (1 - 2.0**-BITS)
+    side = lambda k: classes.select(F.col("c").alias(k), F.col("sig").alias(f"s{k}"), F.struct(F.col("rep").alias("id"), "v").alias(f"r{k}"))
+    full = stage(full, "full")
+    n_full = full.limit(1_000_001).count()
+    pairs = None
+    if n_full <= 1_000_000:  # a checked bound; with more, every bucket is compared in blocks
+        met = keys.withColumn("z", coarse).join(F.broadcast(full), "z", "left_anti") if n_full else keys
+        met = met.select("key", "c").withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").select("key", "c").distinct()
+        met = stage(met, "buckets")
+        both = met.withColumnRenamed("c", "x").join(met.withColumnRenamed("c", "y"), "key").where("x < y")
+        pairs = both.select("x", "y").distinct()
+    if n_full:
+        crowd = keys.withColumn("z", coarse).join(F.broadcast(full), "z", "left_semi").select("key", "c") if pairs is not None else keys
+        more = _crowded(stage(crowd.distinct(), "crowded"), classes, threshold - slack, 20 * block)
+        pairs = more.distinct() if pairs is None else pairs.union(more).distinct()
     likely = pairs.join(side("x"), "x").join(side("y"), "y").where(estimate(F.col("sx"), F.col("sy")) >= threshold - slack)
     likely = stage(likely.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")), "candidates")
 
@@ -252,8 +314,12 @@ def near_duplicates(
     likely_texts = _only_likely(base.select("id", "v", "text"), wanted, ["id", "v"])
     # wanted is distinct; a semi join would be moved below the filter
     texts = likely_texts.join(wanted, ["id", "v"]).dropDuplicates(["id", "v"])
+    texts = stage(texts, "texts")
     ends = lambda k: texts.select(F.struct("id", "v").alias(k), F.col("text").alias(f"t{k}"))
-    full = likely.join(ends("a"), "a").join(ends("b"), "b")
+    # a text with very many partners goes to all tasks: at most 1,000 of them
+    full = likely
+    for k in "ab":
+        full = join_spread(full, ends(k), [k], often(likely, [k], most=1000))
     schema = T.StructType([T.StructField("a", df.schema[id_col].dataType), T.StructField("b", df.schema[id_col].dataType), T.StructField("similarity", T.DoubleType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,18 +333,34 @@ def near_duplicates(
     return members, links
 
 
-def expand(members: DataFrame, links: DataFrame, full_class: int = 1000) -> DataFrame:
+def expand(members: DataFrame, links: DataFrame, full_copies: int = 1000, block: int = 1000) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of ids: equal texts and linked ones.
 
-    In a class of more than `full_class` copies the representative alone stands for the class in links, and each other
-    copy is paired with it; so a class of any size adds pairs in proportion to its rows.
+    Of exactly equal texts with more than `full_copies` copies the first one stands for them: each other copy is paired with
+    it and with the first copy of every other text that is equal or linked, so a group of copies of any size adds pairs in
+    proportion to its rows. All pairs of texts that differ in any character are written otherwise, block by block.
     """
-    small = F.col("n") <= full_class
-    standing = members.where(small | (F.col("id") == F.col("rep"))).select("id", "rep")
-    copies = members.where(F.col("n") > 1)
-    few, other = copies.where(small), copies.select("rep", F.col("id").alias("y"))
-    same = few.join(other, "rep").where("id < y").select(F.col("id").alias("id_a"), F.col("y").alias("id_b"))
-    star = copies.where(~small & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    few = F.col("copies") <= full_copies
+    m = stage(members, "members")
+    standing = m.where(few | (F.col("id") == F.col("first"))).select("id", "rep", "n", "v")
+    firsts = m.where(F.col("id") == F.col("first")).select("id", "rep", "v")
+    rest = m.where(~few & (F.col("id") != F.col("first"))).select("id", "rep", "v", "first")
+    equal = standing.where("n > 1").withColumn("s", F.ceil(F.col("n") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    x = equal.select("rep", F.col("id").alias("x"), "i", F.explode(F.sequence(F.col("i"), F.col("s") - 1)).alias("j"))
+    y = equal.select("rep", F.col("id").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
+    same = x.join(y, ["rep", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select("x", "y")
     left = links.select("a", "b").join(standing.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-    both = left.join(standing.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-    return same.unionByName(star).unionByName(both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
+    both = left.join(standing.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    star = rest.select(F.col("first").alias("x"), F.col("id").alias("y"))
+    # copies beyond the first: first copies of the other texts of their class, and of linked classes
+    near = links.select("a", "b").union(links.select("b", "a")).union(rest.select("rep", "rep").distinct()).toDF("rep", "to")
+    near = rest.select("rep").distinct().join(near, "rep").join(firsts.select(F.col("rep").alias("to"), F.col("id").alias("y"), F.col("v").alias("w")), "to")
+    more = join_spread_many(rest, near.select("rep", "y", "w")).where("v != w").select(F.col("id").alias("x"), "y")
+    pairs = same.unionByName(both).unionByName(star).unionByName(more)
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def join_spread_many(rest: DataFrame, near: DataFrame, salts: int = 32) -> DataFrame:
+    """Copies joined with what is near their class; both only exist for large groups of copies, so copies are split by a hash."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")
+    return rest.select("*", salt).join(near.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["rep", "salt"])

@@ -99,11 +99,30 @@ def test_near_duplicates_blocks_and_newest(spark):
     assert none[0].count() == none[1].count() == 0
 
 
-def test_large_classes_are_stars(spark):
-    df = texts(spark, [(f"a{i:02}", "the same text here") for i in range(20)] + [("b", "the same text here!")], "id string, text string")
-    members, links = neardup.near_duplicates(df, "id", "text", threshold=0.6)
-    got = {(r.id_a, r.id_b) for r in neardup.expand(members, links, full_class=5).collect()}
-    assert got == {("a00", f"a{i:02}") for i in range(1, 20)} | {("a00", "b")}
+def test_large_groups_of_copies_are_stars(spark):
+    rows = [(f"a{i:02}", "the same text here") for i in range(20)] + [("b", "the same text here!"), ("c1", "The same text here"), ("c2", "The same text here")]
+    members, links = neardup.near_duplicates(texts(spark, rows, "id string, text string"), "id", "text", threshold=0.6)
+    got = [(r.id_a, r.id_b) for r in neardup.expand(members, links, full_copies=5, block=2).collect()]
+    every = [(f"a{i:02}", x) for i in range(20) for x in ("b", "c1")] + [("a00", f"a{i:02}") for i in range(1, 20)] + [("a00", "c2"), ("b", "c1"), ("b", "c2"), ("c1", "c2")]
+    assert sorted(got) == sorted(every)
+    whole = [(r.id_a, r.id_b) for r in neardup.expand(members, links, block=2).collect()]
+    assert len(whole) == len(set(whole)) == 23 * 22 // 2
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6])
+def test_crowded_bands_are_compared_in_blocks(spark, threshold):
+    rng = random.Random(9)
+    plate = "this notice was made by a machine and may be read by all who care to do so at any time of day or night"
+    rows = [(f"p{i:03}", plate + " " + " ".join(f"{rng.randrange(10**5)}" for _ in range(rng.choice([2, 9, 12])))) for i in range(300)]
+    members, links = neardup.near_duplicates(texts(spark, rows, "id string, text string"), "id", "text", threshold=threshold, block=4)
+    got, true = {(r.id_a, r.id_b) for r in neardup.expand(members, links).collect()}, brute_pairs(rows, threshold)
+    assert got <= true and len(got) >= 0.98 * len(true) > 1000
+
+
+def test_bands_never_fall_short():
+    assert neardup.bands_for(0.5, 5, 0.02) * 5 > 256
+    with pytest.raises(ValueError):
+        neardup.bands_for(0.1, 5, 0.02)
 
 
 def test_signature_estimates():
