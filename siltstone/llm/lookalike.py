@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.bpe import slices
-from siltstone.staging import stage
+from siltstone.staging import join_spread, often, stage
 
 # Letters of different alphabets that have one shape. The first of a group is Latin.
 LOOK_ALIKE = (
@@ -210,29 +210,34 @@ def normalize(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, schema)
 
 
-def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text", full_group: int | None = None, block: int = 1000) -> DataFrame:
-    """Pairs (id_a, id_b), id_a < id_b, of rows whose texts look the same but aren't the same characters.
+def same_look_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, g, c, rep, rows, kinds, first, copies) of the rows with visible text that look like a row of other characters.
 
-    Every such pair is given; groups of one look of more than `block` rows are paired block by block, so that no task gets
-    a whole one. With `full_group`, in a larger group every row is paired with the smallest id only, unless the two are exact
-    copies, which then are in no pair and lose their links to other texts. Null texts and texts without a visible character
-    have no pairs.
+    g and c are hashes of the look and of the characters; rep is the smallest id of the look and rows its number of rows, of
+    `kinds` different texts; first is the smallest id of exactly this text and copies their number.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    two = lambda c: F.struct(F.xxhash64(c), F.hash(F.reverse(c), c))  # noqa: E731 96 bits
+    two = lambda c: F.struct(F.xxhash64(c).alias("a"), F.hash(F.reverse(c), c).alias("b"))  # noqa: E731 96 bits
     forms = normalize(rows.withColumn("c", two(F.col("text"))), "text", "form")
     keyed = forms.where(F.col("form").isNotNull() & F.col("form").rlike(r"[^\s]")).select("id", two(F.col("form")).alias("g"), "c")
     keyed = stage(keyed, "forms")  # ids and hashes; they are read several times
-    classes = keyed.groupBy("g", "c").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    groups = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows"), F.min_by("c", "rep").alias("rep_c"), F.min("rep").alias("rep")).where("kinds > 1")
-    inside = keyed.join(groups, "g")
-    few = inside if full_group is None else inside.where(F.col("rows") <= full_group)
+    exact = keyed.groupBy("g", "c").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    looks = exact.groupBy("g").agg(F.min("first").alias("rep"), F.sum("copies").alias("rows"), F.count("*").alias("kinds")).where("kinds > 1")
+    hot = often(keyed, ["g"])
+    return join_spread(join_spread(keyed, looks, ["g"], hot), exact, ["g", "c"], often(keyed, ["g", "c"]))
+
+
+def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text", block: int = 1000) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of rows whose texts look the same but aren't the same characters.
+
+    Every such pair is given; groups of one look of more than `block` rows are paired block by block, so that no task gets
+    a whole one. Exact copies are no pair. Null texts and texts without a visible character have no pairs. A row's number of
+    pairs is rows - copies in same_look_classes, which needs no pairs.
+    """
+    few = stage(same_look_classes(df, id_col, text).select("id", "g", "c", "rows"), "looks")
     few = few.withColumn("s", F.ceil(F.col("rows") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
     a = few.select("g", F.col("id").alias("x"), F.col("c").alias("c_x"), "i", F.explode(F.sequence(F.col("i"), F.col("s") - 1)).alias("j"))
     b = few.select("g", F.col("id").alias("y"), F.col("c").alias("c_y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
     met = a.join(b, ["g", "i", "j"]).where((F.col("c_x") != F.col("c_y")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
     pairs = met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    if full_group is not None:
-        many = inside.where((F.col("rows") > full_group) & (F.col("c") != F.col("rep_c"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-        pairs = pairs.unionByName(many.where("id_a < id_b"))
     return pairs.where("id_a < id_b").distinct()

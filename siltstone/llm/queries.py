@@ -147,7 +147,13 @@ def p9_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p3_found, p3_clusters, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized)}
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that looks like one of other characters, with the smallest id of its look and its number of such documents."""
+    rows = lookalike.same_look_classes(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return rows.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.col("first").alias("copy_of"), (F.col("rows") - F.col("copies")).alias("n_links"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p3_found, p3_clusters, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_scores, p7_ids, p8_found, p8_packing, p9_found, p9_normalized, p9_classes)}
 
 _RICH = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) rn FROM enriched_chunks) WHERE rn = 1)"
 

@@ -342,7 +342,7 @@ def test_ppmi(spark, hot):
     total, size = {"x": 8, "y": 2, "z": 1}, {k: sum(v.values()) for k, v in counts.items()}
     mass = sum(s**0.75 for s in size.values())
     want = {(k, t): max(0.0, math.log(n * mass / (total[t] * size[k] ** 0.75))) for k, v in counts.items() for t, n in v.items()}
-    got = distinct.ppmi(df, "id", "ts", hot_records=hot).collect()
+    got = distinct.ppmi(df, "id", "ts", hot=hot).collect()
     assert {(r.id, r.term): pytest.approx(r.ppmi, abs=1e-8) for r in got} == want and len(got) == len(want)
     assert distinct.ppmi(df.limit(0), "id", "ts").count() == 0
 
@@ -417,8 +417,8 @@ def test_look_alike(spark):
     df = texts(spark, rows, "doc_id long, text string").withColumn("form", F.lit("clash"))
     got = {(r.id_a, r.id_b) for r in lookalike.same_look_pairs(df).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(len(SAME))} | {(1004, 1005), (1005, 1006)}
-    star = {(r.id_a, r.id_b) for r in lookalike.same_look_pairs(df, full_group=2).collect()}
-    assert star == got - {(1005, 1006)}
+    links = {r.id: r.rows - r.copies for r in lookalike.same_look_classes(df).collect()}
+    assert links == {i: sum(i in p for p in got) for i in {x for p in got for x in p}}
     forms = {r.doc_id: r.form for r in lookalike.normalize(df).collect()}
     assert forms[1000] is None and forms[1001] == "" and all(f is None or f == unicodedata.normalize("NFC", f) for f in forms.values())
     assert lookalike.same_look_pairs(df.limit(0)).count() == 0
