@@ -9,11 +9,14 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.text import word_count
+
 
 class Embedder(Protocol):
     dim: int
@@ -49,6 +52,69 @@ class HashEmbedder:
         return {"dim": self.dim, "_place": {}}
 
 
+class TokenCounter(Protocol):
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each text."""
+
+
+class WordCounter:
+    """White-space words; the same as functions.text.word_count, which stays in the JVM."""
+
+    def count(self, texts: list[str]) -> list[int]:
+        return [len(t.split()) for t in texts]
+
+
+class RanksCounter:
+    """Tokens of a byte-pair vocabulary in a file of base64 pieces and ranks, cut by `pattern` before."""
+
+    def __init__(self, path: str, pattern: str):
+        self.path, self.pattern, self._encoding = path, pattern, None
+
+    def count(self, texts: list[str]) -> list[int]:
+        if self._encoding is None:
+            import base64
+
+            import tiktoken
+
+            with open(self.path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self._encoding = tiktoken.Encoding("given", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return [len(x) for x in self._encoding.encode_ordinary_batch(texts)]
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "pattern": self.pattern, "_encoding": None}
+
+
+def token_counts(texts: Column, counter: TokenCounter | None = None) -> Column:
+    """Tokens of each string of an array column; without a counter, words, in the JVM."""
+    if counter is None:
+        return F.transform(texts, word_count)
+
+    @F.pandas_udf("array<int>")
+    def counted(lists: pd.Series) -> pd.Series:
+        sizes = [0 if x is None else len(x) for x in lists]
+        n = counter.count([t or "" for x in lists if x is not None for t in x])
+        ends = np.cumsum(sizes)
+        return pd.Series([None if x is None else n[e - k : e] for x, k, e in zip(lists, sizes, ends)])
+
+    return counted(texts)
+
+
+class PairScorer(Protocol):
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        """A score of each (claim, text)."""
+
+
+def pair_scores(claim: Column, text: Column, scorer: PairScorer) -> Column:
+    """Scores of a model for pairs, batch by batch."""
+
+    @F.pandas_udf("double")
+    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(scorer.score([(x or "", y or "") for x, y in zip(a, b)]), np.float64))
+
+    return scored(claim, text)
+
+
 class AnchorWriter(Protocol):
     def write(self, topic_id: int, core_sentences: list[str]) -> str: ...
 
@@ -57,6 +123,7 @@ class TemplateAnchor:
     """A question made from the first core sentence."""
 
     def write(self, topic_id: int, core_sentences: list[str]) -> str:
+        # fixed values: the form of the question and its hint without sentences
         hint = textwrap.shorten(core_sentences[0], width=120, placeholder=" …") if core_sentences else "biomedical evidence"
         return f"What findings relate to: {hint} (global topic {topic_id})?"
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import text as tx
-from siltstone.functions.models import Embedder, HashEmbedder
+from siltstone.functions.models import Embedder, HashEmbedder, TokenCounter, token_counts
 
+#: How ids begin, and what joins sentences.
 PREFIX = {"baseline_char": "bl", "sentence_window": "sw", "llm_boundary": "sem", "semantic_gmm": "chunk"}
 JOINED = "\n\n"
 _PIECE = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("topic_id", T.IntegerType())])
@@ -26,6 +27,10 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+def _one(counter: TokenCounter | None) -> Callable[[str], int]:
+    return count_words if counter is None else lambda t: counter.count([t])[0]
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, sentence) of title and text."""
     parts = tx.plain_sentences(tx.title_and_body(F.col("title"), F.col("text")))
@@ -149,14 +154,14 @@ def window_bounds(n: Column, tokens: Column, size: int, overlap: int, most: int)
     return F.aggregate(windows, none, take)["out"]
 
 
-def window_chunks(docs: DataFrame, size: int = 6, overlap: int = 2, most: int = 512, whole_sentences: bool = False) -> DataFrame:
+def window_chunks(docs: DataFrame, size: int = 6, overlap: int = 2, most: int = 512, whole_sentences: bool = False, counter: TokenCounter | None = None) -> DataFrame:
     """Windows of sentences. whole_sentences: sentences above `most` tokens aren't cut before."""
     lists = sentence_lists(docs)
     if not whole_sentences:
-        fitted = _per_document(lists, lambda s: [(x, -1) for x in fit_sentences(s, most)])
+        fitted = _per_document(lists, lambda s: [(x, -1) for x in fit_sentences(s, most, _one(counter))])
         grouped = fitted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("s"))
         lists = grouped.select("doc_id", F.transform("s", lambda x: x["text"]).alias("sents"))
-    tokens = F.transform("sents", tx.word_count)
+    tokens = token_counts(F.col("sents"), counter)
     cut = lists.where(F.size("sents") > 0).withColumn("tok", tokens).withColumn("n", F.size("sents"))
     wins = cut.select("doc_id", "sents", F.posexplode(window_bounds(F.col("n"), F.col("tok"), size, overlap, most)).alias("pos", "w"))
     text = F.array_join(F.slice("sents", F.col("w.first") + 1, F.col("w.len")), JOINED)
@@ -169,20 +174,21 @@ def is_boundary(before: np.ndarray, vector: np.ndarray, least: float) -> bool:
     return float(m @ vector) / (float(np.linalg.norm(m)) or 1.0) < least
 
 
-def boundary_chunks(docs: DataFrame, most: int = 512, least: float = 0.55, lookback: int = 4, ready: int = 2, embedder: Embedder | None = None) -> DataFrame:
+def boundary_chunks(docs: DataFrame, most: int = 512, least: float = 0.55, lookback: int = 4, ready: int = 2, embedder: Embedder | None = None, counter: TokenCounter | None = None) -> DataFrame:
     """A new chunk where the next sentence would go beyond the cap, or is unlike the last sentences of the chunk."""
     model = embedder or HashEmbedder()
 
     def cut(sents: list[str]) -> list[tuple[str, int]]:
-        sents = fit_sentences(sents, most)
+        sents = fit_sentences(sents, most, _one(counter))
         if not sents:
             return []
         x = model.encode(sents).astype(np.float64)
         length = np.linalg.norm(x, axis=1, keepdims=True)
         x /= np.where(length == 0, 1, length)
+        sizes = counter.count(sents) if counter else [count_words(s) for s in sents]
         out, first, held = [], 0, 0
         for i, s in enumerate(sents):
-            n = count_words(s)
+            n = sizes[i]
             if i > first and held + n > most or i - first >= ready and is_boundary(x[max(first, i - lookback) : i], x[i], least):
                 out.append((JOINED.join(sents[first:i]).strip(), -1))
                 first, held = i, 0
@@ -199,7 +205,7 @@ def topic_islands(labelled: DataFrame) -> DataFrame:
     return labelled.withColumn("__c", changed).withColumn("island", F.sum("__c").over(w).cast("int")).drop("__c")
 
 
-def topic_chunks(labelled: DataFrame, most: int = 512) -> DataFrame:
+def topic_chunks(labelled: DataFrame, most: int = 512, counter: TokenCounter | None = None) -> DataFrame:
     """Neighbouring sentences of one topic, up to the cap. labelled: (doc_id, sent_idx, sentence, topic).
 
     A buffer only ever holds one topic, as another one ends it; so an island is filled up greedily.
@@ -210,10 +216,10 @@ def topic_chunks(labelled: DataFrame, most: int = 512) -> DataFrame:
     def cut(sents: list[str], topics: list[int]) -> list[tuple[str, int]]:
         out: list[tuple[str, int]] = []
         held: list[str] = []
-        size, topic = 0, None
+        size, topic, count = 0, None, _one(counter)
         for s, t in zip(sents, topics):
-            for p in [s] if count_words(s) <= most else pack_words(s, most):
-                n = count_words(p)
+            for p in [s] if count(s) <= most else pack_words(s, most, count):
+                n = count(p)
                 if held and (t != topic or size + n > most):
                     out.append((JOINED.join(held).strip(), topic))
                     held, size = [], 0
@@ -224,7 +230,7 @@ def topic_chunks(labelled: DataFrame, most: int = 512) -> DataFrame:
     return _per_document(lists, cut, "topics")
 
 
-def number(pieces: DataFrame, method: str) -> DataFrame:
+def number(pieces: DataFrame, method: str, counter: TokenCounter | None = None) -> DataFrame:
     """Chunks with running ids in the order of documents: chunks are counted per document, and only the counts are ordered.
 
     doc_id is ordered as a number where it is one. The order of counts is by ranges, so no task sees all documents.
@@ -242,17 +248,18 @@ def number(pieces: DataFrame, method: str) -> DataFrame:
     out = pieces.withColumn("__r", rank).join(first.select("doc_id", (F.col("base") + F.col("o")).alias("__b")), "doc_id")
     return out.select(
         tx.chunk_id(PREFIX[method], F.col("__b") + F.col("__r")).alias("chunk_id"), F.array("doc_id").alias("doc_ids"), "text",
-        tx.word_count(F.col("text")).alias("token_count"), "topic_id", F.array().cast("array<string>").alias("keywords"),
+        F.get(token_counts(F.array("text"), counter), 0).alias("token_count"), "topic_id", F.array().cast("array<string>").alias("keywords"),
     )
 
 
-def chunk(docs: DataFrame, method: str, labelled: DataFrame | None = None) -> DataFrame:
-    """Numbered chunks by one of the four methods; semantic_gmm needs sentences with topics."""
+def chunk(docs: DataFrame, method: str, labelled: DataFrame | None = None, counter: TokenCounter | None = None) -> DataFrame:
+    """Numbered chunks by one of the four methods; semantic_gmm needs sentences with topics. counter: what a token is."""
     if method == "semantic_gmm":
         if labelled is None:
             raise ValueError("semantic_gmm needs labelled sentences")
-        return number(topic_chunks(labelled), method)
+        return number(topic_chunks(labelled, counter=counter), method, counter)
     make = {"baseline_char": char_chunks, "sentence_window": window_chunks, "llm_boundary": boundary_chunks}
     if method not in make:
         raise ValueError(method)
-    return number(make[method](docs), method)
+    more = {} if method == "baseline_char" else {"counter": counter}
+    return number(make[method](docs, **more), method, counter)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import text as tx
 from siltstone.functions.models import AnchorWriter, Embedder, TemplateAnchor, embed
-from siltstone.functions.vector import cosine
 from siltstone.operators import keywords, retrieve, topics
 from siltstone.staging import stage
 
@@ -42,25 +45,58 @@ def write_anchors(core: DataFrame, writer: AnchorWriter | None = None, most: int
     return core.sparkSession.createDataFrame(out, "topic_id int, core_sentences array<string>, anchor_query string")
 
 
-def associate(chunks: DataFrame, anchors: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """(chunk_id, synthetic_queries): for every anchor query the chunks it fits, by flexible top-k."""
-    asked = embed(anchors.select("topic_id", "anchor_query"), "anchor_query", "qv", embedder)
+def associate(chunks: DataFrame, anchors: DataFrame, embedder: Embedder | None = None, least: float = 0.45) -> DataFrame:
+    """(chunk_id, synthetic_queries): for every anchor query the chunks it fits, by flexible top-k. One pass over the chunks."""
+    most = 1000
+    asked = embed(anchors.select("topic_id", "anchor_query"), "anchor_query", "qv", embedder).limit(most + 1).collect()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} anchors")
     have = embed(chunks.select("chunk_id", "text"), "text", "cv", embedder)
-    pairs = have.crossJoin(F.broadcast(asked))  # at most 1000 anchors, see write_anchors
-    sims = pairs.select("topic_id", "anchor_query", "chunk_id", F.round(cosine(F.col("qv"), F.col("cv")), 6).alias("similarity"))
-    kept = retrieve.flexible_topk(sims, "topic_id", "chunk_id")
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    m = unit(np.array([r["qv"] for r in asked], np.float64)) if asked else np.zeros((0, 1))
+    shared = chunks.sparkSession.sparkContext.broadcast((m, [r["topic_id"] for r in asked], [r["anchor_query"] for r in asked]))  # at most 1000 anchors
+    schema = T.StructType([T.StructField("topic_id", T.IntegerType()), T.StructField("anchor_query", T.StringType()), chunks.schema["chunk_id"], T.StructField("similarity", T.DoubleType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, topic, text = shared.value
+        for b in batches:
+            for s in range(0, b.num_rows if len(q) else 0, 1000):
+                part = b.slice(s, 1000)
+                x = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
+                sims = np.round(unit(x) @ q.T, 6)
+                at, j = np.nonzero(sims >= least)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([topic[k] for k in j], pa.int32()), pa.array([text[k] for k in j], pa.string()), part.column(0).take(pa.array(at)), pa.array(sims[at, j])], schema.fieldNames()
+                )
+
+    sims = have.select("chunk_id", "cv").mapInArrow(compare, schema)
+    kept = retrieve.flexible_topk(sims, "topic_id", "chunk_id", least=least)
     item = F.struct("topic_id", F.col("anchor_query").alias("text"), F.lit("anchor").alias("typology"), F.col("topic_id").alias("subtopic_id"))
     packed = kept.groupBy("chunk_id").agg(F.array_sort(F.collect_list(item)).alias("q"))
     return packed.select("chunk_id", F.transform("q", lambda x: F.struct(x["text"].alias("text"), x["typology"].alias("typology"), x["subtopic_id"].alias("subtopic_id"))).alias("synthetic_queries"))
 
 
+def append(chunks: DataFrame, new: DataFrame, column: str) -> DataFrame:
+    """chunks with the arrays of new (chunk_id, column) behind those they have; an empty array where there is neither."""
+    none = F.array().cast(new.schema[column].dataType)
+    old = F.coalesce(F.col(column), none) if column in chunks.columns else none
+    joined = chunks.join(new.select("chunk_id", F.col(column).alias("__new")), "chunk_id", "left")
+    return joined.withColumn(column, F.concat(old, F.coalesce("__new", none))).drop("__new")
+
+
+def thread(chunks: DataFrame, anchors: DataFrame, k: int, embedder: Embedder | None = None) -> DataFrame:
+    """chunks with the anchor queries that fit them behind the synthetic queries they have, no clusters of queries, and k topics."""
+    out = append(chunks, associate(chunks, anchors, embedder), "synthetic_queries")
+    return out.withColumn("query_clusters", F.array().cast("array<string>")).withColumn("optimal_k", F.lit(k))
+
+
 def enrich(chunks: DataFrame, least: int = 3, most: int = 20, components: int = 15, embedder: Embedder | None = None, writer: AnchorWriter | None = None) -> Enrichment:
     """chunks with topic_id (majority of their sentences), keywords of that topic, anchor_queries of the anchors that fit."""
     sents = embed(chunk_sentences(chunks), "sentence", "vector", embedder)
     labelled, k = topics.gaussian_topics(sents, "vector", components, least, most)
     labelled = stage(labelled, "labelled")
     main = keywords.majority(labelled, "chunk_id", "topic", "sent_idx")
-    named = chunks.drop("topic_id", "keywords", "anchor_queries").join(main, "chunk_id", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
+    named = chunks.drop("topic_id", "keywords").join(main, "chunk_id", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
     words = keywords.keyword_arrays(keywords.class_tfidf(named), "topic_id")
     named = named.join(F.broadcast(words), "topic_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))  # a row per component
     ident = labelled.withColumn("sid", F.concat_ws("#", "chunk_id", F.lpad(F.col("sent_idx").cast("string"), 6, "0")))
@@ -68,5 +104,5 @@ def enrich(chunks: DataFrame, least: int = 3, most: int = 20, components: int =
     core = core.join(ident.select("sid", "sentence"), "sid").groupBy(F.col("topic").alias("topic_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "sentence"))).alias("s"))
     anchors = write_anchors(core.select("topic_id", F.transform("s", lambda x: x["sentence"]).alias("core_sentences")), writer)
     linked = associate(named, anchors, embedder).select("chunk_id", F.transform("synthetic_queries", lambda q: q["text"]).alias("anchor_queries"))
-    out = named.join(linked, "chunk_id", "left").withColumn("anchor_queries", F.coalesce("anchor_queries", F.array().cast("array<string>")))
+    out = append(named, linked, "anchor_queries")
     return Enrichment(out, k, anchors)

@@ -96,3 +96,8 @@ def first_examples(details_: DataFrame, order: str = "claim_id") -> DataFrame:
     rows = details_.select("*", F.explode(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()])).alias("example")).where("example is not null")
     w = Window.partitionBy("example").orderBy(order)
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def sample_chunks(chunks: DataFrame, n: int = 2, seed: int | None = None) -> DataFrame:
+    """n chunks at random, for a look at them."""
+    return chunks.orderBy(F.rand(seed)).limit(n)

@@ -11,24 +11,15 @@ from pyspark.sql import types as T
 
 from siltstone.staging import stage
 
-#: The common English stop words that the short keyword lists leave out.
-STOP_WORDS = (
-    "a about after again all also although an and another any are as at be because been before being between both but by can did do does during each "
-    "every few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not of off on once only "
-    "or other our out over own same she should so some still such than that the their them then there these they this those through to too under until up "
-    "very was we were what when where whereas which while who whom why will with without you your"
-).split()
-
-
 def library_stop_words() -> list[str]:
-    """A longer list: Spark's own."""
+    """Spark's English stop words, which keyword lists leave out."""
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
 def tokens(text: Column, stop: list[str] | None = None) -> Column:
     """Lower-case runs of letters, digits and _ of ASCII, at least two long, without stop words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]{2,})"), 1)
-    return F.filter(found, lambda w: ~w.isin(STOP_WORDS if stop is None else stop))
+    return F.filter(found, lambda w: ~w.isin(library_stop_words() if stop is None else stop))
 
 
 def top(df: DataFrame, keys: list[str], by: str, tie: str, n: int | None) -> DataFrame:

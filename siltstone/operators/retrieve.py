@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import text as tx
+from siltstone.functions.models import PairScorer, pair_scores
 from siltstone.staging import stage
 
 RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT = 60, 0.7, 0.3
@@ -89,7 +90,9 @@ def inverted_index(chunks: DataFrame, key: str = "chunk_id", fields: tuple[str,
 
 
 def lexical_hits(claims: DataFrame, chunks: DataFrame, fields: tuple[str, ...] = ("anchor_queries", "keywords"), mode: str = "all_tokens", limit: int = 60) -> DataFrame:
-    """(claim_id, id, overlap, rank) of the chunks whose fields match a claim, the first `limit` by id, then ranked by overlap and id, both descending.
+    """(claim_id, id, overlap, rank) of the chunks whose fields match a claim, at most `limit`, ranked by overlap and id, both descending.
+
+    The first `limit` by id are ranked, but with any_token, where one common word is a match, the best `limit` of all.
 
     claims: claim_id, text; chunks: id and the fields, arrays of strings. mode: all_tokens (all words of the claim of 2 to 20
     letters occur in one field), any_token, or substring (the claim occurs in a string of a field). Words meet through the
@@ -114,7 +117,7 @@ def lexical_hits(claims: DataFrame, chunks: DataFrame, fields: tuple[str, ...] =
             inside = hit if inside is None else inside | hit
         rows = rows.where(F.coalesce(inside, F.lit(False)))
     scored = rows.select("claim_id", "id", tx.lex_overlap(F.col("text"), *[F.col(f) for f in fields]).alias("overlap"))
-    first = ranked(scored, ["claim_id"], [F.col("id")], limit).drop("rank")
+    first = scored if mode == "any_token" else ranked(scored, ["claim_id"], [F.col("id")], limit).drop("rank")
     return ranked(first, ["claim_id"], [F.col("overlap").desc(), F.col("id").desc()], limit)
 
 
@@ -123,8 +126,10 @@ def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF
     weights = [1.0] * len(lists) if weights is None else weights
     if len(weights) != len(lists):
         raise ValueError("a weight for every list")
-    if not lists:
-        raise ValueError("no list")
+    if not lists:  # nothing to fuse
+        from pyspark.sql import SparkSession
+
+        return SparkSession.active().createDataFrame([], "claim_id string, id string, score double, rank int")
     parts = [x.select("claim_id", "id", (F.lit(float(w)) / (k + F.col("rank"))).alias("s")) for x, w in zip(lists, weights)]
     out = parts[0]
     for p in parts[1:]:
@@ -160,22 +165,23 @@ def boosted(hits: DataFrame, claims: DataFrame, chunks: DataFrame, k: int = 3, o
     return out.select("claim_id", "id", F.round("exact", 4).alias("score"), F.col("place").alias("rank"))
 
 
-def rerank(candidates: DataFrame, score: Column | None = None, k: int = 3) -> DataFrame:
+def rerank(candidates: DataFrame, scorer: PairScorer | None = None, k: int = 3) -> DataFrame:
     """(claim_id, id, score, rank): candidates (claim_id, id, rank, claim, text) in the order of a pair score, ties as before.
 
-    The default score is the harmonic mean of the shares of common tokens in claim and text; a model's score is a pandas
-    function of both columns.
+    Without a scorer, the score is the harmonic mean of the shares of common tokens in claim and text.
     """
     a, b = tx.lex_tokens(F.col("claim")), tx.lex_tokens(F.col("text"))
     both = F.size(F.array_intersect(a, b))
     default = F.when(both > 0, 2.0 * both / (F.size(a) + F.size(b))).otherwise(0.0)
-    rows = candidates.withColumn("score", F.round(default if score is None else score, 6)).withColumnRenamed("rank", "before")
+    rows = candidates.withColumn("score", F.round(default if scorer is None else pair_scores(F.col("claim"), F.col("text"), scorer), 6)).withColumnRenamed("rank", "before")
     return ranked(rows, ["claim_id"], [F.col("score").desc(), F.col("before"), F.col("id")], k).select("claim_id", "id", "score", "rank")
 
 
 def flexible_topk(sims: DataFrame, group: str, item: str, base: int = 3, slack: float = 0.05, least: float = 0.45) -> DataFrame:
     """(group, item, similarity, rank): the first `base`, more as long as they are within `slack` of the last of these, none below `least`."""
-    w = Window.partitionBy(group).orderBy(F.col("similarity").desc(), item)
-    r = sims.withColumn("rank", F.row_number().over(w))
-    floor = F.min(F.when(F.col("rank") <= base, F.col("similarity"))).over(Window.partitionBy(group))
-    return r.withColumn("f", floor).where(((F.col("rank") <= base) | (F.col("similarity") >= F.col("f") - slack)) & (F.col("similarity") >= least)).drop("f")
+    # what is below `least` is neither kept nor changes what is: if the last of the first `base` is, all others are kept
+    near = sims.where(F.col("similarity") >= least)
+    order = [F.col("similarity").desc(), F.col(item)]
+    floor = ranked(near, [group], order, base).groupBy(group).agg(F.min("similarity").alias("f"), F.count("*").alias("n"))
+    kept = near.join(floor, group).where((F.col("n") < base) | (F.col("similarity") >= F.col("f") - slack))
+    return ranked(kept, [group], order).drop("f", "n")

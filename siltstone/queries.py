@@ -184,7 +184,7 @@ def topic_labels(spark, d):
     return _newest(spark, d, "enriched_chunks").select("chunk_id", tx.topic_label(F.col("topic_id"), F.col("keywords")).alias("label"))
 
 
-@query()
+@query(f"""SELECT topic_id, 'What findings relate to: ' || CASE WHEN length(h) <= 120 THEN h ELSE regexp_extract(h, '^(.{{1,118}}) ', 1) || ' …' END || ' (global topic ' || topic_id || ')?' AS anchor_query FROM (SELECT topic_id, trim(regexp_replace(core_sentences[1], '\\s+', ' ', 'g')) AS h FROM topic_anchors)""")
 def anchor_texts(spark, d):
     rows = _t(spark, d, "topic_anchors").select("topic_id", "core_sentences")
     return enrich.write_anchors(rows, TemplateAnchor()).select("topic_id", "anchor_query")
@@ -209,12 +209,33 @@ def window_geometry(spark, d):
     return wins.select("doc_id", "w.first", "w.len")
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, list(sentence ORDER BY sent_idx) AS sents, count(*) AS n FROM ({_SENTS}) GROUP BY 1),
+w AS (SELECT doc_id, sents, CAST(n AS INT) AS n, CAST(unnest(range(0, greatest(n - 2, 1), 4)) AS INT) AS first FROM s),
+k AS (SELECT doc_id, sents, first, n, (SELECT greatest(1, count(*)) FROM range(1, least(6, n - first) + 1) m(x) WHERE list_sum(list_transform(sents[first + 1:first + x], lambda t: len({_words('t')}))) <= 512) AS len FROM w),
+e AS (SELECT *, max(first + len) OVER (PARTITION BY doc_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+c AS (SELECT doc_id, {_strip("array_to_string(sents[first + 1:first + len], chr(10) || chr(10))")} AS text, row_number() OVER (ORDER BY CAST(doc_id AS BIGINT), first) - 1 AS k FROM e WHERE before IS NULL OR first + len > before)
+SELECT 'sw-' || lpad(CAST(k AS VARCHAR), CAST(greatest(5, length(CAST(k AS VARCHAR))) AS INT), '0') AS chunk_id, doc_id, text, CAST(len({_words('text')}) AS INT) AS token_count FROM c""")
 def window_chunks_6_2(spark, d):
     return chunkers.number(chunkers.window_chunks(spread(_docs(spark, d))), "sentence_window").select("chunk_id", F.element_at("doc_ids", 1).alias("doc_id"), "text", "token_count")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, sent_idx AS i, sentence, CAST(len({_words('sentence')}) AS INT) AS n FROM ({_SENTS})),
+b AS (SELECT doc_id, i, p, count(*) AS n FROM (SELECT doc_id, i, CAST(('0x' || substr(md5(w), 1, 6)) AS BIGINT) % 768 AS p FROM (SELECT doc_id, i, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS w FROM s)) GROUP BY 1, 2, 3),
+l AS (SELECT doc_id, i, sqrt(sum(n * n)) AS l FROM b GROUP BY 1, 2), u AS (SELECT doc_id, i, p, n / l AS x FROM b JOIN l USING (doc_id, i)),
+d AS (SELECT a.doc_id, a.i, c.i AS j, sum(a.x * c.x) AS x FROM (SELECT *, unnest(range(0, 5)) AS o FROM u) a JOIN u c ON a.doc_id = c.doc_id AND a.p = c.p AND c.i = a.i - a.o GROUP BY 1, 2, 3),
+g AS (SELECT doc_id, i, unnest(range(1, 5)) AS k FROM s),
+t AS (SELECT doc_id, i, k, sum(x) AS dot FROM (SELECT doc_id, i, k, 0.0 AS x FROM g UNION ALL SELECT doc_id, i, unnest(range(i - j, 5)) AS k, x FROM d WHERE j < i) GROUP BY 1, 2, 3),
+m AS (SELECT doc_id, i, k, sum(x) AS sq FROM (SELECT doc_id, i, k, 0.0 AS x FROM g UNION ALL SELECT doc_id, n AS i, unnest(range(n - j, 5)) AS k, x FROM (
+SELECT doc_id, i, j, CASE WHEN i = j THEN x ELSE 2 * x END AS x, unnest(range(i + 1, j + 5)) AS n FROM d)) GROUP BY 1, 2, 3),
+f AS (SELECT doc_id, i, list(dot / CASE WHEN sq = 0 THEN 1 ELSE sqrt(sq) END < 0.55 ORDER BY k) AS cut FROM t JOIN m USING (doc_id, i, k) WHERE k <= i GROUP BY 1, 2),
+w AS (SELECT s.doc_id, s.i, s.n, f.cut FROM s LEFT JOIN f USING (doc_id, i)),
+r AS (SELECT doc_id, i, 0 AS first, n AS held, 0 AS pos FROM w WHERE i = 0 UNION ALL
+SELECT doc_id, i, CASE WHEN new THEN i ELSE first END, CASE WHEN new THEN n ELSE held + n END, pos + CAST(new AS INT) FROM (
+SELECT w.doc_id, w.i, r.first, r.held, r.pos, w.n, r.held + w.n > 512 OR (w.i - r.first >= 2 AND w.cut[least(4, w.i - r.first)]) AS new
+FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i + 1)),
+c AS (SELECT doc_id, pos, {_strip("string_agg(sentence, chr(10) || chr(10) ORDER BY i)")} AS text FROM r JOIN s USING (doc_id, i) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (ORDER BY CAST(doc_id AS BIGINT), pos) - 1 AS k FROM c)
+SELECT 'sem-' || lpad(CAST(k AS VARCHAR), CAST(greatest(5, length(CAST(k AS VARCHAR))) AS INT), '0') AS chunk_id, doc_id, text, CAST(len({_words('text')}) AS INT) AS token_count FROM k""")
 def boundary_chunks(spark, d):
     return chunkers.number(chunkers.boundary_chunks(spread(_docs(spark, d))), "llm_boundary").select("chunk_id", F.element_at("doc_ids", 1).alias("doc_id"), "text", "token_count")
 
@@ -235,7 +256,13 @@ def topic_islands(spark, d):
     return chunkers.topic_islands(_labelled(spark, d)).groupBy("doc_id", "island").agg(F.min("topic").alias("topic"), F.count("*").alias("n_sentences"), F.min("sent_idx").alias("first"))
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, sent_idx, sentence, topic, CAST(len({_words('sentence')}) AS INT) AS n FROM ({_TOPICS})),
+r AS (SELECT doc_id, sent_idx, topic, n AS size, 0 AS pos FROM s WHERE sent_idx = 0 UNION ALL
+SELECT s.doc_id, s.sent_idx, s.topic, CASE WHEN s.topic <> r.topic OR r.size + s.n > 512 THEN s.n ELSE r.size + s.n END, r.pos + CASE WHEN s.topic <> r.topic OR r.size + s.n > 512 THEN 1 ELSE 0 END
+FROM r JOIN s ON s.doc_id = r.doc_id AND s.sent_idx = r.sent_idx + 1),
+c AS (SELECT doc_id, pos, min(r.topic) AS topic_id, {_strip("string_agg(sentence, chr(10) || chr(10) ORDER BY sent_idx)")} AS text FROM r JOIN s USING (doc_id, sent_idx) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (ORDER BY CAST(doc_id AS BIGINT), pos) - 1 AS k FROM c)
+SELECT 'chunk-' || lpad(CAST(k AS VARCHAR), CAST(greatest(5, length(CAST(k AS VARCHAR))) AS INT), '0') AS chunk_id, doc_id, topic_id, text, CAST(len({_words('text')}) AS INT) AS token_count FROM k""")
 def topic_chunks(spark, d):
     return chunkers.number(chunkers.topic_chunks(_labelled(spark, d)), "semantic_gmm").select("chunk_id", F.element_at("doc_ids", 1).alias("doc_id"), "topic_id", "text", "token_count")
 
@@ -274,7 +301,17 @@ def flexible_topk(spark, d):
     return retrieve.flexible_topk(sims, "claim_id", "chunk_id")
 
 
-_STOP = "(" + ", ".join(f"'{w}'" for w in keywords.STOP_WORDS) + ")"
+#: The published English stop words of Spark's feature library, written out so that the SQL stands for itself.
+_STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
+    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or "
+    "because as until while of at by for with about against between into through during before after above below to from up down in out on off over under "
+    "again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t "
+    "can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've "
+    "we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't "
+    "cannot could here's how's let's ought that's there's what's when's where's who's why's would "
+).split()
+_STOP = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in _STOP_WORDS) + ")"
 _TOK = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{{2,}}'), lambda w: w NOT IN {_STOP})"
 
 
@@ -296,7 +333,21 @@ def tfidf_top10(spark, d):
     return keywords.chunk_tfidf(_newest(spark, d, "enriched_chunks")).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+_CTFIDF = f"""tf AS (SELECT topic_id, term, count(*) AS tf FROM (SELECT topic_id, unnest({_TOK}) AS term FROM {_RICH} WHERE topic_id >= 0) GROUP BY 1, 2),
+s AS (SELECT topic_id, sum(tf) AS size FROM tf GROUP BY 1), t AS (SELECT term, sum(tf) AS total FROM tf GROUP BY 1), m AS (SELECT floor(avg(size)) AS mean FROM s),
+w AS (SELECT topic_id, term, round(tf / size * ln(1 + mean / total), 9) AS weight FROM tf JOIN s USING (topic_id) JOIN t USING (term), m)"""
+
+
+@query(f"""WITH {_CTFIDF}, l AS (SELECT topic_id, sqrt(sum(weight * weight)) AS tl FROM w GROUP BY 1), g AS (SELECT term, max(weight) AS g FROM w GROUP BY 1),
+u AS (SELECT topic_id, term, weight / tl AS u, g FROM w JOIN l USING (topic_id) JOIN g USING (term)),
+c AS (SELECT chunk_id, {_TOK} AS toks FROM {_RICH}), p AS (SELECT chunk_id, i, toks[i + 1:i + 4] AS x FROM (SELECT chunk_id, toks, unnest(range(0, greatest(len(toks) - 3, 1))) AS i FROM c WHERE len(toks) > 0)),
+e AS (SELECT chunk_id, i, term, count(*) AS n FROM (SELECT chunk_id, i, unnest(x) AS term FROM p) GROUP BY 1, 2, 3),
+n AS (SELECT chunk_id, i, sqrt(sum(e.n * e.n * g * g)) AS len FROM e JOIN g USING (term) GROUP BY 1, 2),
+d AS (SELECT chunk_id, i, topic_id, sum(e.n * u * g) AS dot FROM e JOIN u USING (term) GROUP BY 1, 2, 3),
+q AS (SELECT chunk_id, topic_id, sum(dot / len) AS s FROM d JOIN n USING (chunk_id, i) WHERE dot / len >= 0.1 GROUP BY 1, 2),
+r AS (SELECT chunk_id, topic_id, round(s / sum(s) OVER (PARTITION BY chunk_id), 4) AS confidence FROM q),
+b AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, topic_id) AS k, count(*) OVER (PARTITION BY chunk_id) AS n FROM r WHERE confidence > 0.01)
+SELECT c.chunk_id, CAST(coalesce(b.n, 0) AS INT) AS n, b.topic_id AS first, b.confidence FROM c LEFT JOIN b ON b.chunk_id = c.chunk_id AND b.k = 1""")
 def subtopics(spark, d):
     rich = _newest(spark, d, "enriched_chunks").select("chunk_id", "text", "topic_id")
     terms = stage(keywords.class_tfidf(rich, n=None), "terms")
@@ -381,12 +432,11 @@ def dense_text_top3(spark, d):
     return _dense(spark, d, 3)
 
 
-@query(f"""WITH q AS (SELECT claim_id, w, len(w) AS need FROM (SELECT query_id AS claim_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) BETWEEN 2 AND 20)) AS w FROM {_ASKED})),
+@query(f"""WITH q AS (SELECT claim_id, w FROM (SELECT query_id AS claim_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) BETWEEN 2 AND 20)) AS w FROM {_ASKED})),
 i AS (SELECT DISTINCT chunk_id, unnest(string_split_regex(lower(array_to_string(keywords, ' ')), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM {_RICH}),
 m AS (SELECT DISTINCT claim_id, chunk_id FROM (SELECT claim_id, unnest(w) AS t FROM q) JOIN i USING (t) WHERE length(t) BETWEEN 2 AND 20),
-o AS (SELECT claim_id, chunk_id AS id, CAST(len(list_intersect({_lex('q.text')}, {_lex("array_to_string(c.keywords, ' ')")})) AS INT) AS overlap FROM m JOIN (SELECT query_id AS claim_id, text FROM {_ASKED}) q USING (claim_id) JOIN {_RICH} c USING (chunk_id)),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY id) AS r FROM o) WHERE r <= 60)
-SELECT claim_id, id, overlap, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC, id DESC) AS INT) AS rank FROM f""")
+o AS (SELECT claim_id, chunk_id AS id, CAST(len(list_intersect({_lex('q.text')}, {_lex("array_to_string(c.keywords, ' ')")})) AS INT) AS overlap FROM m JOIN (SELECT query_id AS claim_id, text FROM {_ASKED}) q USING (claim_id) JOIN {_RICH} c USING (chunk_id))
+SELECT claim_id, id, overlap, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC, id DESC) AS rank FROM o) WHERE rank <= 60""")
 def lexical_rank(spark, d):
     q = _asked(spark, d)
     rows = _newest(spark, d, "enriched_chunks").select(F.col("chunk_id").alias("id"), "keywords")
@@ -404,21 +454,48 @@ def rrf(spark, d):
     return retrieve.rrf([rows, retrieve.ranked(sure, ["claim_id"], [F.col("confidence_score").desc(), F.col("id")])], [0.7, 0.3])
 
 
-@query()
+def _top(k: int) -> str:
+    return f"dense AS (SELECT query_id AS claim_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sims) WHERE rank <= {k})"
+
+
+_FIELDS = f"""anch AS (SELECT chunk_id AS id, coalesce(keywords, []) AS kw, list_transform(coalesce(keywords, []), lambda k: 'What about ' || k || '?') AS aq FROM {_RICH} WHERE text IS NOT NULL),
+fld AS (SELECT id, 'k' AS field, array_to_string(kw, ' ') AS t FROM anch UNION ALL SELECT id, 'a', array_to_string(aq, ' ') FROM anch),
+idx AS (SELECT DISTINCT id, field, tok FROM (SELECT id, field, unnest(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM fld) WHERE length(tok) BETWEEN 2 AND 20),
+cw AS (SELECT claim_id, text, w, len(w) AS need FROM (SELECT query_id AS claim_id, text, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) BETWEEN 2 AND 20)) AS w FROM {_ASKED})),
+met AS (SELECT claim_id, id, field, need, count(*) AS have FROM (SELECT claim_id, need, unnest(w) AS tok FROM cw) JOIN idx USING (tok) GROUP BY 1, 2, 3, 4),
+over AS (SELECT claim_id, id, all_of, len(list_intersect({_lex('text')}, {_lex("array_to_string(list_concat(aq, kw), ' ')")})) AS overlap
+FROM (SELECT claim_id, id, max(have) = max(need) OR bool_or(have = need) AS all_of FROM met GROUP BY 1, 2) JOIN cw USING (claim_id) JOIN anch USING (id))"""
+_FUSE = """fz AS (SELECT claim_id, id, sum(s) AS e FROM (SELECT claim_id, id, 0.7 / (60 + rank) AS s FROM dense UNION ALL SELECT claim_id, id, 0.3 / (60 + rank) FROM lex) GROUP BY 1, 2),
+hyb AS (SELECT claim_id, id, round(e, 6) AS score, row_number() OVER (PARTITION BY claim_id ORDER BY round(e, 12) DESC, id) AS rank FROM fz)"""
+
+
+@query(f"""{_SIM}, {_top(60)}, {_FIELDS},
+lex AS (SELECT * FROM (SELECT claim_id, id, row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC, id DESC) AS rank FROM over) WHERE rank <= 60), {_FUSE}
+SELECT claim_id, id, score, CAST(rank AS INT) AS rank FROM hyb WHERE rank <= 3""")
 def hybrid_top3(spark, d):
     rows = _points(spark, d).withColumnRenamed("chunk_id", "id")
     lexical = retrieve.lexical_hits(_asked(spark, d), rows.select("id", "anchor_queries", "keywords"), mode="any_token")
     return retrieve.hybrid(_dense(spark, d, 60).withColumnRenamed("query_id", "claim_id"), lexical, 3)
 
 
-@query()
+_ASKS = "(?i)^(who is|what is|what are|who are|define|describe|explain)\\s+"
+
+
+@query(f"""{_SIM}, {_top(9)}, term AS (SELECT query_id AS claim_id, list_filter({_words(f"lower(regexp_replace(regexp_replace({_strip('text')}, '{_ASKS}', ''), '[?., ]+$', ''))")}, lambda w: length(w) >= 2) AS terms
+FROM (SELECT query_id, 'What is ' || text AS text FROM {_ASKED})),
+z AS (SELECT claim_id, id, rank, similarity + CASE WHEN list_has_any(terms, list_transform(coalesce(keywords, []), lambda x: lower(x))) THEN 0.15 ELSE 0 END
++ CASE WHEN list_has_any(terms, list_transform(flatten(list_transform(coalesce(subtopics, []), lambda s: coalesce(s.keywords, []))), lambda x: lower(x))) THEN 0.10 ELSE 0 END AS exact
+FROM dense JOIN term USING (claim_id) JOIN {_RICH} c ON c.chunk_id = id WHERE rank <= 3 OR len(terms) > 0)
+SELECT claim_id, id, round(exact, 4) AS score, CAST(place AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY round(exact, 9) DESC, rank) AS place FROM z) WHERE place <= 3""")
 def entity_boost_search(spark, d):
     asked = _asked(spark, d).withColumn("text", F.concat(F.lit("What is "), "text"))
     rows = _newest(spark, d, "enriched_chunks").select(F.col("chunk_id").alias("id"), "keywords", "subtopics")
     return retrieve.boosted(_dense(spark, d, 9).withColumnRenamed("query_id", "claim_id"), asked, rows)
 
 
-@query()
+@query(f"""{_SIM}, {_top(40)}, z AS (SELECT claim_id, id, rank AS before, {_lex('q.text')} AS a, {_lex('c.text')} AS b FROM dense JOIN (SELECT query_id AS claim_id, text FROM {_ASKED}) q USING (claim_id) JOIN {_RICH} c ON c.chunk_id = id),
+y AS (SELECT claim_id, id, before, round(CASE WHEN len(list_intersect(a, b)) > 0 THEN 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0 END, 6) AS score FROM z)
+SELECT claim_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, before, id) AS rank FROM y) WHERE rank <= 3""")
 def rerank(spark, d):
     pairs = _dense(spark, d, 40).withColumnRenamed("query_id", "claim_id").join(_asked(spark, d).withColumnRenamed("text", "claim"), "claim_id")
     pairs = pairs.join(_newest(spark, d, "enriched_chunks").select(F.col("chunk_id").alias("id"), "text"), "id")
@@ -470,7 +547,13 @@ def collection_hits(spark, d):
     return rows.groupBy("collection").agg(F.count("*").alias("claims"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_at_3"))
 
 
-@query()
+@query(f"""{_SIM}, {_top(60)}, {_FIELDS},
+lex AS (SELECT * FROM (SELECT claim_id, id, row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC, id DESC) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY id) AS k FROM over WHERE all_of) WHERE k <= 60)), {_FUSE},
+hits AS (SELECT 'dense_only' AS mode, claim_id, id, rank FROM dense WHERE rank <= 3 UNION ALL SELECT 'hybrid', claim_id, id, rank FROM hyb WHERE rank <= 3),
+truth AS (SELECT a.query_id AS claim_id, gt, mode FROM {_ASKED} a JOIN ({_TRUTH}) USING (query_id), (SELECT unnest(['dense_only', 'hybrid']) AS mode)),
+per AS (SELECT mode, claim_id, min(CASE WHEN list_has_any(doc_ids, gt) THEN rank END) AS first_rank, coalesce(sum(CAST(list_has_any(doc_ids, gt) AS INT)), 0) AS n FROM truth LEFT JOIN hits USING (mode, claim_id) LEFT JOIN {_RICH} c ON c.chunk_id = id GROUP BY 1, 2)
+SELECT 'enriched' AS collection, m.mode, false AS fell_back, count(claim_id) AS total_claims, CAST(count(first_rank) AS BIGINT) AS hits, round(coalesce(count(first_rank) / nullif(count(claim_id), 0), 0), 6) AS hit_at_k,
+round(coalesce(avg(CASE WHEN claim_id IS NOT NULL THEN coalesce(1.0 / first_rank, 0) END), 0), 6) AS mrr, round(coalesce(avg(n / 3.0), 0), 6) AS precision_at_k FROM (SELECT unnest(['dense_only', 'hybrid']) AS mode) m LEFT JOIN per USING (mode) GROUP BY m.mode""")
 def ablation_matrix(spark, d):
     """Dense and hybrid search of one collection of chunks for the stated claims."""
     points = _points(spark, d).withColumn("point_id", tx.point_id(F.col("chunk_id")))
@@ -515,7 +598,7 @@ def gmm_bic(spark, d):
 
 @query()
 def pca_gmm_topics(spark, d):
-    found, _ = topics.gaussian_topics(_t(spark, d, "embeddings"), "embedding", most=12)
+    found, _ = topics.gaussian_topics(_t(spark, d, "embeddings"), "embedding")
     return found.select("vec_id", "label", "topic")
 
 
@@ -530,4 +613,80 @@ def stage_files(spark, d):
     return files.normalize_chunks(_newest(spark, d, "chunks").select("chunk_id", "doc_ids", "text", "token_count", "topic_id", "keywords")).select("chunk_id", "token_count", "topic_id", F.size("doc_ids").alias("n_docs"))
 
 
-ORACLE_SQL["stage_files"] = f"SELECT chunk_id, coalesce(token_count, 0) AS token_count, coalesce(topic_id, -1) AS topic_id, CAST(len(coalesce(doc_ids, [])) AS INT) AS n_docs FROM {_CHUNKS}"
+ORACLE_SQL["stage_files"] = f"SELECT chunk_id, CAST(coalesce(token_count, len({_words('text')})) AS INT) AS token_count, coalesce(topic_id, -1) AS topic_id, CAST(len(coalesce(doc_ids, [])) AS INT) AS n_docs FROM {_CHUNKS}"
+
+
+# ---- enrichment and comparison of runs
+
+_FIT = f"""WITH a AS (SELECT DISTINCT topic_id, core_sentences[1] AS text FROM topic_anchors), q AS ({_BAG.format(k="topic_id", t="a")}), c AS ({_BAG.format(k="chunk_id", t=_RICH)}),
+ql AS (SELECT topic_id, sqrt(sum(n * n)) AS l FROM q GROUP BY 1), cl AS (SELECT chunk_id, sqrt(sum(n * n)) AS l FROM c GROUP BY 1),
+dots AS (SELECT topic_id, chunk_id, sum(q.n * c.n) AS x FROM q JOIN c USING (b) GROUP BY 1, 2),
+r AS (SELECT topic_id, chunk_id, similarity, row_number() OVER (PARTITION BY topic_id ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT topic_id, chunk_id, round(x / (ql.l * cl.l), 6) AS similarity FROM dots JOIN ql USING (topic_id) JOIN cl USING (chunk_id))),
+k AS (SELECT topic_id, chunk_id FROM (SELECT *, min(CASE WHEN rank <= 3 THEN similarity END) OVER (PARTITION BY topic_id) AS f FROM r) WHERE (rank <= 3 OR similarity >= f - 0.05) AND similarity >= 0.2)"""
+
+
+def _fitting(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    anchors = _t(spark, d, "topic_anchors").select("topic_id", F.get("core_sentences", 0).alias("anchor_query")).distinct()
+    return spread(_newest(spark, d, "enriched_chunks").select("chunk_id", "text")), anchors
+
+
+@query(f"{_FIT} SELECT chunk_id, count(*) AS n, array_to_string(list(CAST(topic_id AS VARCHAR) ORDER BY topic_id), ',') AS topics FROM k GROUP BY 1")
+def associations(spark, d):
+    """Chunks that fit the first core sentence of a topic; words of other topics share little, hence the lower least similarity."""
+    rich, anchors = _fitting(spark, d)
+    out = enrich.associate(rich, anchors, least=0.2)
+    return out.select("chunk_id", F.size("synthetic_queries").cast("long").alias("n"), F.array_join(F.transform("synthetic_queries", lambda q: q["subtopic_id"].cast("string")), ",").alias("topics"))
+
+
+@query(f"""{_FIT}, w AS (SELECT chunk_id, list(text ORDER BY topic_id) AS new FROM k JOIN a USING (topic_id) GROUP BY 1)
+SELECT c.chunk_id, array_to_string(list_concat(list_transform(coalesce(keywords, []), lambda x: 'What about ' || x || '?'), coalesce(new, [])), ' / ') AS anchor_queries FROM {_RICH} c LEFT JOIN w USING (chunk_id)""")
+def appended_anchors(spark, d):
+    """Anchor queries that fit a chunk behind those that it has."""
+    rich, anchors = _fitting(spark, d)
+    old = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.concat(F.lit("What about "), k, F.lit("?")))
+    chunks = _newest(spark, d, "enriched_chunks").select("chunk_id", old.alias("anchor_queries"))
+    new = enrich.associate(rich, anchors, least=0.2).select("chunk_id", F.transform("synthetic_queries", lambda q: q["text"]).alias("anchor_queries"))
+    return enrich.append(chunks, new, "anchor_queries").select("chunk_id", F.array_join("anchor_queries", " / ").alias("anchor_queries"))
+
+
+_BASE = "(SELECT * FROM " + _CHUNKS + " WHERE chunk_id LIKE 'bl-%' AND text IS NOT NULL)"
+
+
+def _bag_sims(table: str, name: str) -> str:
+    """The similarities of _SIM for another table of chunks."""
+    return f"""{name}c AS ({_BAG.format(k="chunk_id", t=table)}), {name}l AS (SELECT chunk_id, sqrt(sum(n * n)) AS l FROM {name}c GROUP BY 1),
+{name}s AS (SELECT query_id AS claim_id, chunk_id AS id, round(sum(q.n * c.n) / (any_value(ql.l) * any_value(cl.l)), 6) AS similarity FROM q JOIN {name}c c USING (b) JOIN ql USING (query_id) JOIN {name}l cl USING (chunk_id) GROUP BY 1, 2),
+{name}h AS (SELECT claim_id, list_has_any(flatten(list(coalesce(doc_ids, []))), any_value(gt)) AS hit, array_to_string(list(array_to_string(doc_ids, '|') ORDER BY rank), ' / ') AS top FROM (
+SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY similarity DESC, id) AS rank FROM {name}s) JOIN truth USING (claim_id) JOIN {table} c ON c.chunk_id = id WHERE rank <= 3 GROUP BY 1)"""
+
+
+@query(f"""{_SIM}, truth AS (SELECT a.query_id AS claim_id, gt FROM {_ASKED} a JOIN ({_TRUTH}) USING (query_id)), {_bag_sims(_BASE, "b")}, {_bag_sims("(SELECT * FROM " + _RICH + " WHERE text IS NOT NULL)", "e")}
+SELECT t.claim_id, array_to_string(gt, ',') AS ground_truth, coalesce(b.hit, false) AS baseline_hit, coalesce(b.top, '') AS baseline_top, coalesce(e.hit, false) AS enriched_hit, coalesce(e.top, '') AS enriched_top
+FROM truth t LEFT JOIN bh b USING (claim_id) LEFT JOIN eh e USING (claim_id)""")
+def baseline_against_enriched(spark, d):
+    """Hits of the stated claims in the chunks by characters and in the enriched ones, by dense search of both."""
+    claims_ = corpus.claims(_t(spark, d, "queries").where(F.col("query_id").try_cast("bigint") % 50 == 0), _t(spark, d, "qrels"))
+    base = embed(spread(_newest(spark, d, "chunks").where("chunk_id like 'bl-%' and text is not null").select("chunk_id", "text", "doc_ids")), "text")
+    runs = ablation.two_runs(base, _points(spark, d), claims_, mode="dense_only")
+    top = lambda c: F.array_join(f"{c}_top_doc_ids", " / ").alias(f"{c}_top")
+    return runs.select("claim_id", F.array_join("ground_truth_doc_ids", ",").alias("ground_truth"), "baseline_hit", top("baseline"), "enriched_hit", top("enriched"))
+
+
+class QuarterCounter:
+    """Four characters to a token."""
+
+    def count(self, texts: list[str]) -> list[int]:
+        return [(len(t) + 3) // 4 for t in texts]
+
+
+@query(f"""WITH s AS (SELECT doc_id, list(sentence ORDER BY sent_idx) AS sents, count(*) AS n FROM ({_SENTS}) GROUP BY 1),
+w AS (SELECT doc_id, sents, CAST(n AS INT) AS n, CAST(unnest(range(0, greatest(n - 2, 1), 4)) AS INT) AS first FROM s),
+k AS (SELECT doc_id, sents, first, n, (SELECT greatest(1, count(*)) FROM range(1, least(6, n - first) + 1) m(x) WHERE list_sum(list_transform(sents[first + 1:first + x], lambda t: (length(t) + 3) // 4)) <= 100) AS len FROM w),
+e AS (SELECT *, max(first + len) OVER (PARTITION BY doc_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+c AS (SELECT doc_id, {_strip("array_to_string(sents[first + 1:first + len], chr(10) || chr(10))")} AS text, row_number() OVER (ORDER BY CAST(doc_id AS BIGINT), first) - 1 AS k FROM e WHERE before IS NULL OR first + len > before)
+SELECT 'sw-' || lpad(CAST(k AS VARCHAR), CAST(greatest(5, length(CAST(k AS VARCHAR))) AS INT), '0') AS chunk_id, doc_id, text, CAST((length(text) + 3) // 4 AS INT) AS token_count FROM c""")
+def window_chunks_counted(spark, d):
+    """Windows under 100 tokens of a given counter."""
+    own = QuarterCounter()
+    cut = chunkers.window_chunks(spread(_docs(spark, d)), most=100, whole_sentences=True, counter=own)
+    return chunkers.number(cut, "sentence_window", own).select("chunk_id", F.element_at("doc_ids", 1).alias("doc_id"), "text", "token_count")

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.staging import positions
+
 
 def evidence_ids(qrels: DataFrame) -> DataFrame:
     """Distinct doc_id with a positive relevance."""
@@ -60,9 +62,7 @@ def sample_claims(df: DataFrame, n: int | None, seed: int = 42, most: int = 1_00
     if n > most:
         raise ValueError(f"a sample of more than {most}")
     picked = df.sparkSession.createDataFrame([(i,) for i in random.Random(seed).sample(range(total), n)], "at long")
-    ids = df.select("claim_id").orderBy(F.col("claim_id").cast("string"))
-    # numbers in sorted order without one task that sees all rows
-    numbered = ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("claim_id string, at long")
+    numbered = positions(df.select("claim_id"), [F.col("claim_id").cast("string")], "at")
     return df.join(numbered.join(F.broadcast(picked), "at", "left_semi").select("claim_id"), "claim_id", "left_semi")
 
 

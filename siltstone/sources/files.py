@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions import text as tx
+
 S, I, D = T.StringType(), T.IntegerType(), T.DoubleType()
 STRINGS = T.ArrayType(S)
 SUBTOPIC = T.StructType([T.StructField("topic_id", I), T.StructField("label", S), T.StructField("keywords", STRINGS), T.StructField("confidence", D)])
@@ -17,11 +19,11 @@ THREADED = T.StructType(ENRICHED.fields + [T.StructField("synthetic_queries", T.
 ANCHORS = T.StructType([T.StructField("embedding_model", S), T.StructField("k", I), T.StructField("topics", T.ArrayType(T.StructType([T.StructField("topic_id", I), T.StructField("core_sentences", STRINGS)])))])
 
 METHODS = ("baseline_char", "sentence_window", "llm_boundary", "semantic_gmm")
-_DEFAULTS = {"token_count": 0, "topic_id": -1, "topic_label": "", "confidence_score": 0.0}
+_DEFAULTS = {"topic_id": -1, "topic_label": "", "confidence_score": 0.0}
 
 
 def normalize_chunks(df: DataFrame) -> DataFrame:
-    """Chunks with defaults in place: doc_ids from a single doc_id, 0 tokens, topic -1, empty lists, '' and 0.0.
+    """Chunks with defaults in place: doc_ids from a single doc_id, absent tokens counted, topic -1, empty lists, '' and 0.0.
 
     Without chunk_id, text, and doc_ids or doc_id, a KeyError names the missing ones.
     """
@@ -29,12 +31,12 @@ def normalize_chunks(df: DataFrame) -> DataFrame:
     missing = [c for c in ("chunk_id", "text") if c not in have] + ([] if have & {"doc_ids", "doc_id"} else ["doc_ids"])
     if missing:
         raise KeyError(", ".join(missing))
-    from siltstone.functions.text import doc_id_list
-
     ids = F.col("doc_ids") if "doc_ids" in have else F.lit(None).cast("array<string>")
-    out = df.withColumn("doc_ids", doc_id_list(ids, F.col("doc_id") if "doc_id" in have else None)).drop("doc_id")
+    out = df.withColumn("doc_ids", tx.doc_id_list(ids, F.col("doc_id") if "doc_id" in have else None)).drop("doc_id")
+    counted = tx.word_count(F.col("text"))
+    out = out.withColumn("token_count", F.coalesce(F.col("token_count"), counted) if "token_count" in have else counted)
     for c, value in _DEFAULTS.items():
-        if c in have or c in ("token_count", "topic_id"):
+        if c in have or c == "topic_id":
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(value)) if c in have else F.lit(value))
     for f in ENRICHED.fields:
         if f.name in have and isinstance(f.dataType, T.ArrayType) and f.name != "doc_ids":
@@ -47,6 +49,14 @@ def read_chunks(spark: SparkSession, path: str, schema: T.StructType = CHUNK) ->
     return normalize_chunks(spark.read.schema(schema).option("multiLine", True).json(path))
 
 
+def read_list(spark: SparkSession, path: str, schema: T.StructType = CHUNK) -> DataFrame:
+    """A file that must be a JSON array: ValueError if it begins otherwise."""
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    if not head or not head[0][0].lstrip("\ufeff \t").startswith("["):
+        raise ValueError(f"not a JSON array: {path}")
+    return read_chunks(spark, path, schema)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The same, but an absent or broken file is an empty table."""
     try:
@@ -72,6 +82,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> int:
+    """One file with a JSON array, indented by 2, for readers that want one; rows pass the driver one by one. Returns their number."""
+    import json
+    from pathlib import Path
+
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    n = 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator(prefetchPartitions=True):
+            f.write(("," if n else "") + "\n  " + json.dumps(json.loads(r["j"]), ensure_ascii=False, indent=2).replace("\n", "\n  "))
+            n += 1
+        f.write("\n]\n" if n else "]\n")
+    return n
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 

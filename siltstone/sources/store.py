@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.functions.models import Embedder, embed
+from siltstone.staging import stage
 
 MANDATORY = ("chunk_id", "text", "doc_ids")
 OPTIONAL = ("token_count", "topic_id", "keywords", "anchor_queries")
@@ -36,19 +39,45 @@ def legacy_payload(chunks: DataFrame) -> DataFrame:
     return chunks.select(*cols)
 
 
+def payload_doc_ids(df: DataFrame) -> Column:
+    """A payload's documents as strings: of doc_ids, Docs, docs and doc_id the first that is there; scalars become lists."""
+    out = []
+    for c in ("doc_ids", "Docs", "docs", "doc_id"):
+        if c in df.columns:
+            many = df.schema[c].dataType.typeName() == "array"
+            ids = F.filter(F.col(f"`{c}`").cast("array<string>"), lambda x: x.isNotNull()) if many else F.array(F.col(f"`{c}`").cast("string"))
+            out.append(F.when(F.col(f"`{c}`").isNotNull() & (F.size(ids) > 0), ids))
+    return F.coalesce(*out, F.array().cast("array<string>"))
+
+
 def path_of(root: str, collection: str) -> str:
     return f"{root.rstrip('/')}/collections/{collection}"
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """The newest manifest of a collection: its number, and the folder of each part of the points; -1 without one."""
+    fs, p = _files(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    done = max((int(n.split("-")[1]) for n in names if n.startswith("manifest-")), default=-1)
+    if done < 0:
+        return -1, {}
+    rows = spark.read.text(f"{path}/manifest-{done:09d}").collect()  # a line per part
+    return done, dict((int(k), v) for k, v in (r[0].split(" ", 1) for r in rows))
+
+
 def collection_exists(spark: SparkSession, root: str, collection: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path_of(root, collection))
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+    return _current(spark, path_of(root, collection))[0] >= 0
 
 
 def collections(spark: SparkSession, root: str) -> list[str]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/collections")
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    fs, p = _files(spark, f"{root.rstrip('/')}/collections")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return [n for n in names if collection_exists(spark, root, n)]
 
 
 def validate(spark: SparkSession, root: str, names: list[str]) -> None:
@@ -58,33 +87,73 @@ def validate(spark: SparkSession, root: str, names: list[str]) -> None:
 
 
 def points(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """(point_id, vector, payload): one per chunk_id, the last row by content order of repeated ones."""
-    w = Window.partitionBy("chunk_id").orderBy(F.xxhash64("text").desc())
-    one = payload(chunks).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """(point_id, vector, payload): one per chunk_id, the last row of repeated ones."""
+    w = Window.partitionBy("chunk_id").orderBy(F.col("__at").desc())
+    one = payload(chunks.withColumn("__at", F.monotonically_increasing_id()), [*OPTIONAL, "__at"])
+    one = one.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__at")
     return embed(one.withColumn("point_id", tx.point_id(F.col("chunk_id"))), "text", "vector", embedder)
 
 
-def index_chunks(chunks: DataFrame, root: str, collection: str, recreate: bool = True, embedder: Embedder | None = None) -> int:
+def index_chunks(chunks: DataFrame, root: str, collection: str, recreate: bool = True, embedder: Embedder | None = None, parts: int = 64) -> int:
     """Write a collection; without `recreate`, points with the same id are replaced. Returns how many points it got.
 
-    The new table is written beside the old one and put in its place, so a lost job leaves the old one.
+    Points are kept in `parts` parts by a hash of their id. A version of the collection is a manifest that names each part's
+    folder; writing makes new folders of the parts it touches and then a new manifest, in one step, so readers always find a
+    whole version and a lost job leaves the old one. Folders of older versions stay until vacuum.
     """
-    spark = chunks.sparkSession
-    new, path = points(chunks, embedder), path_of(root, collection)
-    if not recreate and collection_exists(spark, root, collection):
-        old = spark.read.parquet(path)
-        new = old.join(new.select("point_id"), "point_id", "left_anti").unionByName(new, allowMissingColumns=True)
-    new.write.mode("overwrite").parquet(path + ".new")
-    conf = spark._jsc.hadoopConfiguration()
-    to, source = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
-    fs = to.getFileSystem(conf)
-    fs.delete(to, True)
-    fs.rename(source, to)
-    return spark.read.parquet(path).count()
+    spark, path = chunks.sparkSession, path_of(root, collection)
+    number, known = _current(spark, path)
+    if recreate or number < 0:
+        known = {}
+    elif known:
+        parts = max(known) + 1
+    at = F.pmod(F.xxhash64("point_id"), F.lit(parts)).cast("int").alias("part")
+    new = stage(points(chunks, embedder).select("*", at), "points")
+    count = new.count()
+    if not count and not recreate:
+        return 0
+    touched = [r[0] for r in new.select("part").distinct().collect()]  # at most `parts`
+    old = [known[k] for k in touched if known.get(k)]
+    whole = new
+    if old:
+        whole = spark.read.parquet(*old).withColumn("part", at).join(new.select("point_id"), "point_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    folder = f"{path}/data-{uuid.uuid4().hex}"
+    whole.repartition("part").write.partitionBy("part").parquet(folder)
+    known = {**{k: known.get(k, "") for k in range(parts)}, **{k: f"{folder}/part={k}" for k in touched}}
+    lines = spark.createDataFrame([(f"{k} {v}",) for k, v in sorted(known.items())], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(f"{path}/.new-{number + 1}")
+    fs, source = _files(spark, f"{path}/.new-{number + 1}")
+    target = _files(spark, f"{path}/manifest-{number + 1:09d}")[1]
+    if fs.exists(target) or not fs.rename(source, target):
+        raise RuntimeError(f"{collection} was written by another job at the same time")
+    return count
+
+
+def vacuum(spark: SparkSession, root: str, collection: str) -> None:
+    """Remove the manifests and folders that the newest version doesn't use. No job may read an older one meanwhile."""
+    path = path_of(root, collection)
+    number, known = _current(spark, path)
+    used = {v.rsplit("/", 2)[-2] for v in known.values() if v} | {f"manifest-{number:09d}"}
+    fs, p = _files(spark, path)
+    for s in fs.listStatus(p):
+        if number >= 0 and s.getPath().getName() not in used:
+            fs.delete(s.getPath(), True)
+
+
+def index_file(spark: SparkSession, file: str, root: str, collection: str, **more) -> int:
+    """Index the chunks of a JSON file."""
+    from siltstone.sources.files import ENRICHED, read_list
+
+    return index_chunks(read_list(spark, file, ENRICHED), root, collection, **more)
 
 
 def read_collection(spark: SparkSession, root: str, collection: str) -> DataFrame:
-    return spark.read.parquet(path_of(root, collection))
+    """The points of the newest version; ValueError without one."""
+    validate(spark, root, [collection])
+    folders = [v for _, v in sorted(_current(spark, path_of(root, collection))[1].items()) if v]
+    if not folders:
+        return spark.createDataFrame([], "chunk_id string, text string, doc_ids array<string>, doc_id string, point_id string, vector array<float>")
+    return spark.read.option("mergeSchema", True).parquet(*folders)
 
 
 def has_anchor_queries(points_: DataFrame, probe: int = 32) -> bool:

@@ -90,6 +90,17 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
+def positions(df: DataFrame, order: list, out: str) -> DataFrame:
+    """df with each row's place from 0 in the given order, by ranges: no task sees all rows."""
+    from pyspark.sql import Window
+
+    parts = stage(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    base = parts.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__b"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return parts.join(F.broadcast(base), "__p").withColumn(out, (F.col("__b") + inside).cast("long")).drop("__p", "__b")
+
+
 def often(df: DataFrame, on: list[str], most: int = 10_000, least: int = 100_000) -> DataFrame:
     """Keys (on, n) with more than one in `most` of the rows of df and more than `least` rows: fewer than `most`, whatever df has."""
     counts = df.groupBy(*on).agg(F.count("*").alias("n"))

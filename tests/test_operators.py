@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
+from siltstone.functions import models
 from siltstone.functions.models import HashEmbedder, TemplateAnchor
-from siltstone.operators import chunkers, evaluate, keywords, retrieve, topics
+from siltstone.operators import chunkers, enrich, evaluate, keywords, retrieve, topics
 from siltstone.plans import ablation, report, trace
 from siltstone.sources import corpus, files, store
 
@@ -165,7 +166,8 @@ def test_collections(spark, tmp_path):
     chunks = files.normalize_chunks(spark.createDataFrame(rows, "chunk_id string, doc_ids array<string>, text string, token_count int, topic_id int, keywords array<string>"))
     assert store.index_chunks(chunks, root, "x", embedder=HashEmbedder(16)) == 2
     again = spark.createDataFrame([("c1", ["1"], "delta", 1, 0, ["d"])], chunks.schema)
-    assert store.index_chunks(again, root, "x", recreate=False, embedder=HashEmbedder(16)) == 2
+    assert store.index_chunks(again, root, "x", recreate=False, embedder=HashEmbedder(16)) == 1  # points it got
+    assert store.read_collection(spark, root, "x").count() == 2
     got = {r.chunk_id: r for r in store.read_collection(spark, root, "x").collect()}
     assert got["c1"].text == "delta" and got["c1"].doc_id == "1" and got["c2"].doc_ids == []
     assert store.collections(spark, root) == ["x"] and not store.has_anchor_queries(store.read_collection(spark, root, "x"))
@@ -201,3 +203,95 @@ def test_ablation_and_reports(spark, tmp_path):
     assert set(rows) == set(ablation.MODES) and rows["dense_only"]["hits"] == 2
     text = report.comparison_markdown(got, str(tmp_path / "r.md"))
     assert "sentence_window" in text and report.comparison_json(got, str(tmp_path / "r.json"))["cells"]
+
+
+def test_versions_of_a_collection(spark, tmp_path):
+    root, own = str(tmp_path), HashEmbedder(16)
+    rows = spark.createDataFrame([(f"c{i}", ["1"], f"text {i}") for i in range(50)], "chunk_id string, doc_ids array<string>, text string")
+    twice = rows.coalesce(1).unionByName(rows.where("chunk_id = 'c7'").withColumn("text", F.lit("last")))
+    store.index_chunks(twice, root, "x", embedder=own, parts=8)
+    before = store.read_collection(spark, root, "x")
+    assert before.where("text = 'last'").count() == 1 and before.count() == 50
+    new = spark.createDataFrame([("c7", ["2"], "newer", 1), ("n1", ["3"], "new", 2)], "chunk_id string, doc_ids array<string>, text string, topic_id int")
+    store.index_chunks(new, root, "x", recreate=False, embedder=own)
+    assert before.count() == 50  # a reader of the older version keeps it
+    now = {r.chunk_id: r for r in store.read_collection(spark, root, "x").collect()}
+    assert len(now) == 51 and now["c7"].text == "newer" and now["c1"].topic_id is None and now["n1"].topic_id == 2
+    store.vacuum(spark, root, "x")
+    assert store.read_collection(spark, root, "x").count() == 51
+    with pytest.raises(ValueError):
+        store.read_collection(spark, root, "y")
+
+
+def test_payload_doc_ids(spark):
+    df = spark.createDataFrame([(["a"], None, "z"), ([], ["b", None], "z"), (None, None, "z"), (None, None, None)], "doc_ids array<string>, Docs array<string>, doc_id string")
+    assert [r[0] for r in df.select(store.payload_doc_ids(df)).collect()] == [["a"], ["b"], ["z"], []]
+
+
+def test_counters_and_scorers(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)) + b"\n" + base64.b64encode(b"ab") + b" 256\n")
+    counter = models.RanksCounter(str(path), r"\S+|\s+")
+    df = spark.createDataFrame([(["abab", "", "x y"],), ([],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(models.token_counts(F.col("t"), counter)).collect()] == [[2, 0, 3], [], None]
+    assert [r[0] for r in df.select(models.token_counts(F.col("t"))).collect()] == [[1, 0, 2], [], None]
+
+    class Longest:
+        def score(self, pairs):
+            return [len(b) for _, b in pairs]
+
+    rows = spark.createDataFrame([("1", "a", 1, "q", "xx"), ("1", "b", 2, "q", "xxxx"), ("1", "c", 3, "q", None)], "claim_id string, id string, rank int, claim string, text string")
+    assert [(r.id, r.score, r.rank) for r in retrieve.rerank(rows, Longest(), 2).orderBy("rank").collect()] == [("b", 4.0, 1), ("a", 2.0, 2)]
+
+
+def test_runs_reports_and_commands(spark, tmp_path, small):
+    from siltstone import __main__ as command
+
+    root, own = str(tmp_path), HashEmbedder(64)
+    rows = spark.createDataFrame([(f"c{i}", [str(i)], f"word{i} text") for i in range(6)], "chunk_id string, doc_ids array<string>, text string")
+    claims = spark.createDataFrame([("1", "word1 text", ["1"]), ("2", "word2 text", ["9"])], "claim_id string, text string, ground_truth_doc_ids array<string>")
+    with pytest.raises(ValueError):
+        ablation.compare_runs(spark, root, claims, "rich", "base")
+    store.index_chunks(rows, root, "rich", embedder=own)
+    runs, compared = ablation.compare_runs(spark, root, claims, "rich", "base", mode="dense_only", embedder=own)
+    got = {r.claim_id: r for r in runs.collect()}
+    assert not compared and got["1"].enriched_hit and not got["2"].enriched_hit and not got["1"].baseline_hit and got["1"].enriched_top_doc_ids[0] == "1"
+    store.index_chunks(rows, root, "base", embedder=own)
+    runs, compared = ablation.compare_runs(spark, root, claims, "rich", "base", mode="dense_only", embedder=own)
+    text = report.run_report(runs, 3, compared)
+    assert compared and "both 1, only baseline 0, only enriched 0, neither 1" in text and "Example (hit): claim 1" in text
+    cell = ablation.evaluate_cell(store.read_collection(spark, root, "rich"), claims, "rich", "dense_only", embedder=own)
+    details = evaluate.details(ablation.search(store.read_collection(spark, root, "rich"), claims, "dense_only", embedder=own), claims)
+    out = report.comparison_json(cell, f"{root}/r.json", {"rich": {"n_chunks": 6}}, {("rich", "dense_only"): details}, {"k": 3}, {"rich": 4})
+    assert out["metadata"] == {"k": 3} and out["cells"][0]["optimal_k"] == 4 and len(out["cells"][0]["detailed_results"]) == 2
+    assert "| rich | 6 | - | - | 4 |" in report.comparison_markdown(cell, f"{root}/r.md", {"rich": {"n_chunks": 6}}, {"k": 3}, {"rich": 4})
+    assert files.write_json_array(rows, f"{root}/chunks.json") == 6
+    assert command.main(["index", "--root", root, "--file", f"{root}/chunks.json"], spark) == "6 points\n"
+    (tmp_path / "lines.json").write_text('{"chunk_id": "a"}\n')
+    with pytest.raises(ValueError):
+        files.read_list(spark, f"{root}/lines.json")
+    with pytest.raises(SystemExit):
+        command.main(["run", "--root", root, "--skip-corpus", "--queries", "q", "--qrels", "q"], spark)
+    run = ["run", "--root", f"{root}/all", "--methods", "sentence_window", "--mode", "dense_only", "--sample", "5", *(x for n in ("documents", "queries", "qrels") for x in (f"--{n}", f"{small}/{n}.parquet"))]
+    assert "## sentence_window, dense_only" in command.main(run, spark)
+
+
+def test_thread_appends(spark):
+    old = "array<struct<text string, typology string, subtopic_id int>>"
+    chunks = spark.createDataFrame([("a", "one two", [("was", "anchor", 9)]), ("b", "three", None)], f"chunk_id string, text string, synthetic_queries {old}")
+    anchors = spark.createDataFrame([(1, "one two")], "topic_id int, anchor_query string")
+    got = {r.chunk_id: r for r in enrich.thread(chunks, anchors, 5).collect()}
+    assert [q.text for q in got["a"].synthetic_queries] == ["was", "one two"] and got["b"].synthetic_queries == [] and got["b"].optimal_k == 5
+
+
+def test_frequent_keys_are_joined_apart(spark):
+    from siltstone.staging import join_spread, often, positions
+
+    big = spark.createDataFrame([(1 if i % 2 else i, i) for i in range(200)], "k int, v int")
+    other = spark.createDataFrame([(i, f"n{i}") for i in range(0, 200, 3)] + [(1, "one")], "k int, n string")
+    hot = often(big, ["k"], least=20)
+    assert [r.k for r in hot.collect()] == [1]
+    assert sorted(join_spread(big, other, ["k"], hot).collect()) == sorted(big.join(other, "k").collect())
+    assert [r.at for r in positions(big, [F.col("v")], "at").orderBy("v").collect()] == list(range(200))
