@@ -54,8 +54,8 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, cluster of each, description of each cluster)"""
     columns = ["chunk_id", "text", "topic_id", "topic_label"]
-    records = latest(_table(spark, sf_dir, "enriched_chunks").select(*columns, "ingested_at"), "chunk_id", "ingested_at").where("text is not null").select(*columns)
-    assigned = cluster.clusters(spread(records), "chunk_id", "text")
+    records = latest(spread(_table(spark, sf_dir, "enriched_chunks").select(*columns, "ingested_at")), "chunk_id", "ingested_at").where("text is not null").select(*columns)
+    assigned = cluster.clusters(records, "chunk_id", "text")
     # one spelling of a label: lower case, single spaces, parts in order
     parts = F.array_sort(F.transform(F.split(F.lower("topic_label"), r"\|"), lambda x: F.trim(x)))
     said = F.when(F.lower("topic_label").rlike(r"^(topic_\d+|outlier)?$"), None).otherwise(F.array_join(parts, " | "))
@@ -157,6 +157,9 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_classes, p
 
 _RICH = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) rn FROM enriched_chunks) WHERE rn = 1)"
 
+_LAST = _RICH.replace("enriched_chunks", "chunks")
+_S = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 _P1 = f"""WITH h AS (SELECT * FROM (SELECT claim_id, chunk_id, score, confidence_score, array_to_string(doc_ids, '|') AS docs, row_number() OVER (PARTITION BY claim_id, chunk_id ORDER BY ingested_at DESC) AS rn FROM retrieval_results) WHERE rn = 1),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY evaluated_at DESC) AS rn FROM eval_results) WHERE rn = 1),
 e AS (SELECT claim_id, unnest(enriched_top_doc_ids) AS docs, unnest(enriched_scores) AS enriched FROM r),
@@ -172,8 +175,22 @@ _P6 = f"""WITH t AS (SELECT chunk_id AS r, unnest(regexp_extract_all(lower(coale
 j AS (SELECT r, term, count(*) AS tf FROM t GROUP BY 1, 2), s AS (SELECT r, sum(tf) AS size FROM j GROUP BY 1), m AS (SELECT sum(size ** 0.75) AS mass FROM s),
 c AS (SELECT term, sum(tf) AS total, count(*) AS df FROM j GROUP BY 1)"""
 
+_TEXT = f"trim(regexp_replace(lower(text), '{_S}+', ' ', 'g'))"
+#: Pairs of at least 0.6 share one of the rarest pieces of either: so many are left when the shared ones it needs are taken off, and 20
+#: more, of which 20 are shared (fewer in short texts). Exact for every pair.
+_P2 = f"""WITH held AS (SELECT chunk_id, {_TEXT} AS t FROM {_LAST} WHERE text IS NOT NULL AND {_TEXT} <> ''),
+cls AS (SELECT t, min(chunk_id) AS rep, count(*) AS copies, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS pieces FROM held GROUP BY t),
+pc AS (SELECT rep, len(pieces) AS n, unnest(pieces) AS p FROM cls), fr AS (SELECT p, count(*) AS f FROM pc GROUP BY 1),
+pre AS (SELECT rep, p, n FROM (SELECT rep, p, n, f, row_number() OVER (PARTITION BY rep ORDER BY f, p) AS k FROM pc JOIN fr USING (p)) WHERE f > 1 AND k <= n - ceil(0.6 * n) + least(20, ceil(0.6 * n))),
+cand AS (SELECT a.rep AS a, b.rep AS b FROM pre a JOIN pre b ON a.p = b.p AND a.rep < b.rep AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY 1, 2 HAVING count(*) >= least(20, ceil(0.6 * max(a.n)), ceil(0.6 * max(b.n)))),
+link AS (SELECT a, b FROM (SELECT a, b, len(list_intersect(x.pieces, y.pieces)) AS same, len(x.pieces) + len(y.pieces) AS n FROM cand JOIN cls x ON x.rep = a JOIN cls y ON y.rep = b) WHERE same / (n - same) >= 0.6),
+mem AS (SELECT chunk_id, rep, copies FROM held JOIN cls USING (t))"""
+
 #: The other problems aren't expressed in SQL; their tests hold them against brute force, round trips or known answers.
 ORACLE_SQL: dict[str, str] = {
+    "p2_found": _P2+""" SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM mem a JOIN mem b USING (rep) WHERE a.chunk_id < b.chunk_id
+UNION ALL SELECT least(x.chunk_id, y.chunk_id), greatest(x.chunk_id, y.chunk_id) FROM link JOIN mem x ON x.rep = a JOIN mem y ON y.rep = b""",
+    "p2_classes": _P2+" SELECT chunk_id, rep AS class_id, copies AS n_copies, coalesce(k, 0) AS n_links FROM mem LEFT JOIN (SELECT r, count(*) AS k FROM (SELECT a AS r FROM link UNION ALL SELECT b FROM link) GROUP BY 1) ON r = rep",
     "p1_found": _P1 + " SELECT claim_id, chunk_id FROM o WHERE place <= 3",
     "p1_ranking": _P1 + " SELECT claim_id, chunk_id, round(fused, 6) AS fused, n_scores, place FROM o",
     "p6_found": _P6 + " SELECT r AS chunk_id, term FROM j JOIN c USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 8",
