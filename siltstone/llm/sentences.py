@@ -5,6 +5,10 @@ on the left (the word and the marks behind it, or a line break) and the chance o
 inside a sentence. Both are learnt from the texts themselves: words after sure boundaries, inside sentences and behind
 abbreviations are counted, and the chances of the event are fitted by expectation maximization over all open places.
 Forward-backward posteriors decide, as a short line is a heading only if a boundary comes before it too.
+
+In a text with marks the places are its marks, its line breaks and the spaces beside Thai letters; the words between them count
+as inside. In a text without any mark, whatever its script, every gap between two words (ideographs, where there are no gaps) is
+a place, with a chance of the event of its own, learnt from such texts, and a sentence of one word is unlikely.
 """
 
 from __future__ import annotations
@@ -43,11 +47,13 @@ _RIGHT = re.compile(rf"([{_OPEN}]*)[ \u00a0\u202f]?(\w[\w\-]*|.)", re.S)
 _MARKER = re.compile(r"(?:\d{1,3}[.)]|[-–—•*])[^\S\n]+(?=\S)")
 _LAST = re.compile(r"[^\s(\[{\"“”‘’«»„‚'（「]{1,24}\Z")
 _INSIDE = re.compile(r"(?<=[^\s.!?…:;\"”’»)\]]) ([\"“‘«„(]*\w[\w\-]*)(?![\w\-]|\.\w)")
+#: gaps of a text without marks: between words of a line, and between ideographs
+_BETWEEN = re.compile("(?<=\\S)[^\\S\n]+(?=\\S)|(?<=[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])(?=[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])")
 _IDEOGRAPH = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 #: Kinds of places: a word and a full stop; a number; an ellipsis; another mark; a wide mark; a mark and a closing quote; no
-#: space behind; the end of a line of its own, of another line, of a list entry; settled. With the chance of an event to begin with.
-_KINDS = {"w": 0.97, "d": 0.95, "e": 0.5, "x": 0.99, "z": 0.98, "q": 0.6, "n": 0.3, "h": 0.7, "r": 0.1, "i": 0.9, "1": 0.999}
+#: space behind; the end of a line of its own, of another line, of a list entry; settled; a gap of a text without marks. With the chance of an event to begin with.
+_KINDS = {"w": 0.97, "d": 0.95, "e": 0.5, "x": 0.99, "z": 0.98, "q": 0.6, "n": 0.3, "h": 0.7, "r": 0.1, "i": 0.9, "1": 0.999, "p": 0.05}
 _KIND = {k: i for i, k in enumerate(_KINDS)}
 _ABBREVIATION = 0.1  # the same for a word that is hardly ever seen without its full stop
 _SUB = 32  # kinds of closing marks, lengths of lines
@@ -98,7 +104,7 @@ def _word(opened: str, word: str, nouns: bool) -> tuple[int, int]:
             case = "x"
         o = "" if not opened else "(" if opened[-1] in "([（【" else "q"
         shape = (_SCRIPTS.index(s) * len(_OPENED) + _OPENED.index(o)) * len(_CASES) + _CASES.index(case)
-        got = _MEMO[key] = (_slot(f"{s}{o}|{word[:24]}", WORDS), shape)
+        got = _MEMO[key] = (_slot(f"{s}{o}|{word}", WORDS), shape)
     return got
 
 
@@ -109,9 +115,11 @@ def places(text: str, nouns: bool = False) -> list[tuple]:
     m = _MARKER.match(text, begin)
     listed, skip = m is not None, m.end() if m else -1  # the line is a list entry; its marker's full stop ends nothing
     fresh = begin  # where the line began; -1 once it has a place inside
+    marked, markers = False, [(m.start(), m.end())] if m else []
     for m in _GAP.finditer(text, begin, stop):
         at, right = m.start(), m.end()
         if right >= stop or at < skip:
+            marked |= right >= stop and m.group("end") is not None
             continue
         kind, sub, line, dotted, plain = "1", 0, False, 0, 0
         if m.group("end"):
@@ -152,14 +160,28 @@ def places(text: str, nouns: bool = False) -> list[tuple]:
                 kind, sub, line = "h", min((left - fresh) // 12, 6) + 8 * (text[left - 1] == ":"), True
         else:
             left, gap = at, m.group("thai")
-        fresh = -1
+        fresh, marked = -1, marked or m.group("end") is not None
         if "\n" in gap:
             marker = _MARKER.match(text, right)
+            markers += [(right, marker.end())] if marker else []
             fresh, listed, skip = right, marker is not None, marker.end() if marker else -1
             if listed or gap.count("\n") > 1 or _script(text[left - 1]) == "T":
                 kind, sub = "1", 0
         r = _RIGHT.match(text, right)
         out.append((left, right, _KIND[kind], sub, line, dotted, plain, *_word(r.group(1), r.group(2), nouns)))
+    return out if marked else sorted([*out, *_unmarked(text, begin, stop, markers, nouns)])
+
+
+def _unmarked(text: str, begin: int, stop: int, markers: list[tuple[int, int]], nouns: bool) -> list[tuple]:
+    """Places between the words of a text without marks, but behind the marker of a list entry and beside Thai letters."""
+    out = []
+    inside = {e for _, e in markers}
+    for m in _BETWEEN.finditer(text, begin, stop):
+        left, right = m.span()
+        if right in inside or left < right and "T" in (_script(text[left - 1]), _script(text[right])):
+            continue
+        r = _RIGHT.match(text, right)
+        out.append((left, right, _KIND["p"], 0, False, 0, 0, *_word(r.group(1), r.group(2), nouns)))
     return out
 
 
@@ -174,9 +196,10 @@ def scan(texts: list[str | None]) -> tuple[list[bytes], dict[str, np.ndarray]]:
             continue
         inner = _INSIDE.findall(t)
         nouns = sum([w[0].isupper() for w in inner]) > 0.2 * len(inner)
-        words[nouns].update(inner)
-        words[nouns].update(_IDEOGRAPH.findall(t))
         a = np.array(places(t, nouns), PLACE)
+        if not (a["kind"] == _KIND["p"]).any():  # else a sentence may begin at any of these words
+            words[nouns].update(inner)
+            words[nouns].update(_IDEOGRAPH.findall(t))
         np.add.at(stats["dotted"], a["plain"][a["kind"] == _KIND["w"]], 1)
         found.append(a.tobytes())
     for nouns in (False, True):
@@ -209,7 +232,10 @@ class Model:
         share = (self.shape_start + 0.5 * all_s / (all_s + all_i)) / (self.shape_start + self.shape_inside + 0.5)
         w, s = p["word"], p["shape"]
         after = np.where(self._abbreviated(p), self.behind[w], 0)
-        odds = ((self.start[w] + share[s]) / all_s[s]) / ((self.inside[w] + after + 1 - share[s]) / all_i[s])
+        # ideographs are counted inside wherever they are; without marks, those that begin a sentence are taken off
+        wide = (p["kind"] == _KIND["p"]) & np.isin(s // (len(_OPENED) * len(_CASES)), [_SCRIPTS.index(x) for x in "JH"])
+        inside = np.where(wide, np.maximum(self.inside[w] - self.start[w], 0), self.inside[w])
+        odds = ((self.start[w] + share[s]) / all_s[s]) / ((inside + after + 1 - share[s]) / all_i[s])
         return np.clip(np.log(np.maximum(odds, 1e-9)), np.where(self._abbreviated(p), -8.0, -5.0), 8.0)
 
     def _abbreviated(self, p: np.ndarray) -> np.ndarray:
@@ -230,16 +256,20 @@ class Model:
         log[p["kind"] == _KIND["1"]] = 20.0
         out = log >= 0
         ends = np.cumsum(sizes)
-        for i in np.unique(np.searchsorted(ends, np.flatnonzero(p["line"]), "right")):  # elsewhere places don't depend on each other
+        plain = p["kind"] == _KIND["p"]
+        near = np.zeros(len(p), bool)  # one word from the place before
+        near[1:] = plain[1:] & (p["right"][:-1] <= p["left"][1:])
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero((p["line"] > 0) | plain), "right")):  # elsewhere places don't depend on each other
             a, b = ends[i] - sizes[i], ends[i]
-            out[a:b] = forward_backward(np.exp(log[a:b]).tolist(), p["line"][a:b].tolist())
+            out[a:b] = forward_backward(np.exp(log[a:b]).tolist(), p["line"][a:b].tolist(), near[a:b].tolist())
         return out
 
 
-def forward_backward(odds: list[float], line: list[int]) -> list[bool]:
+def forward_backward(odds: list[float], line: list[int], near: list[int] | None = None) -> list[bool]:
     """Where the posterior of an event is at least a half. odds of an event if one comes before; a line without one before
-    it, which then goes on from the text above, has a tenth of that. The text's start counts as an event."""
-    pair = [(0.1 * o if h else o, o) for o, h in zip(odds, line)]
+    it, which then goes on from the text above, has a tenth of that; so has a place one word behind an event (near). The
+    text's start counts as an event."""
+    pair = [(0.1 * o if h else o, 0.1 * o if x else o) for o, h, x in zip(odds, line, near or [0] * len(odds))]
     forward, f = [], 1.0
     for a, b in pair:
         f = (1 - f) * a / (1 + a) + f * b / (1 + b)

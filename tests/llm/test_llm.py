@@ -269,23 +269,42 @@ def test_sentences_cover_the_text(spark):
     assert sentences.split(df.unionByName(df), "id", by="at").count() == sum(map(len, by.values()))
 
 
+def test_text_without_marks(spark):
+    rng, starts, inner = random.Random(6), ["it", "then", "each", "see", "now"], ["dose", "trial", "group", "fell", "rose", "showed", "again", "more", "soon", "there"]
+    sentence = lambda: [rng.choice(starts), *rng.choices(inner, k=rng.randint(4, 8))]
+    marked = [" ".join(" ".join(sentence()) + "." for _ in range(8)) for _ in range(200)]
+    wide = ["".join("今" + "".join(rng.choices("天下雨他说这样子", k=6)) + "。" for _ in range(6)) for _ in range(100)]
+    bare, true = [], []
+    for i in range(60):
+        parts = [" ".join(sentence()) if i % 3 else "今" + "".join(rng.choices("天下雨他说这样子", k=6)) for _ in range(6)]
+        bare.append((" " if i % 3 else "").join(parts))
+        true.append(parts)
+    got: dict = {}
+    df = texts(spark, list(enumerate([*marked, *wide, *bare])))
+    for r in sentences.split(df, "id").collect():
+        got.setdefault(r.id, []).append((r.start_char, r.end_char))
+    found = [[t[a:b] for a, b in sorted(got[300 + i])] for i, t in enumerate(bare)]
+    right = sum(x in y for x, parts in zip(found, true) for y in [parts] for x in x)
+    assert right / sum(map(len, true)) > 0.95 and right / sum(map(len, found)) > 0.95
+
+
 def test_forward_backward_equals_enumeration():
     rng = random.Random(8)
     for _ in range(50):
         n = rng.randint(1, 6)
-        odds, line = [math.exp(rng.uniform(-3, 3)) for _ in range(n)], [rng.random() < 0.5 for _ in range(n)]
+        odds, line, near = [math.exp(rng.uniform(-3, 3)) for _ in range(n)], [rng.random() < 0.5 for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]
         on = [0.0] * n
         total = 0.0
         for k in range(2**n):
             p, last = 1.0, True
             for i in range(n):
-                o = odds[i] * (0.1 if line[i] and not last else 1)
+                o = odds[i] * (0.1 if line[i] and not last or near[i] and last else 1)
                 last = bool(k >> i & 1)
                 p *= o / (1 + o) if last else 1 / (1 + o)
             total += p
             for i in range(n):
                 on[i] += p * (k >> i & 1)
-        assert all(abs(x / total - 0.5) < 1e-9 or (x / total >= 0.5) == y for x, y in zip(on, sentences.forward_backward(odds, line)))
+        assert all(abs(x / total - 0.5) < 1e-9 or (x / total >= 0.5) == y for x, y in zip(on, sentences.forward_backward(odds, line, near)))
 
 
 # ---- p5
