@@ -106,3 +106,16 @@ def enrich(chunks: DataFrame, least: int = 3, most: int = 20, components: int =
     linked = associate(named, anchors, embedder).select("chunk_id", F.transform("synthetic_queries", lambda q: q["text"]).alias("anchor_queries"))
     out = append(named, linked, "anchor_queries")
     return Enrichment(out, k, anchors)
+
+
+def attach_metadata(chunks: DataFrame, words: DataFrame, subtopics: DataFrame, topics_: DataFrame, labels: DataFrame) -> DataFrame:
+    """Chunks in the older enriched form: keywords (chunk_id, keywords), subtopics (chunk_id, subtopics), topics_ (chunk_id, topic_id,
+    confidence) and labels (topic_id, terms) joined to them; absent ones are empty, -1 and 0.0; confidence is rounded to 4 places."""
+    base = chunks.select("chunk_id", "doc_ids", "text", "token_count")
+    out = base.join(topics_.select("chunk_id", "topic_id", "confidence"), "chunk_id", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
+    out = out.join(words, "chunk_id", "left").join(subtopics, "chunk_id", "left").join(labels.select("topic_id", "terms"), "topic_id", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
+    return out.select(
+        "chunk_id", "doc_ids", "text", "token_count", "topic_id", none("keywords"), none("subtopics"),
+        tx.topic_label(F.col("topic_id"), F.col("terms")).alias("topic_label"), F.round(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence_score"),
+    )

@@ -35,6 +35,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float |
     kinds = {"query_id": queries.schema["query_id"].dataType, "id": corpus.schema["id"].dataType}
     schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()] + [T.StructField("similarity", T.DoubleType())])
     items = corpus.where("vector is not null").select("id", F.col("vector").cast("array<float>").alias("vector"))
+    if blocks > 1:  # every block reads them again: vectors aren't made again
+        items = stage(items, "vectors")
     found = None
     for i in range(2 * blocks if blocks > 1 else 1):
         rows = q.where(F.col("block") == i).select("query_id", "vector").toArrow()  # about half of block_bytes

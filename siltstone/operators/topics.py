@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.vector import cosine, doubles, mean_by
 
@@ -216,11 +217,29 @@ def mixture_step(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
 
 def expectation_step(df: DataFrame, key: str, vector: str, params: DataFrame, group: str, components: int = 1000) -> DataFrame:
     """(key, group, log_density) of every row under every component; there are at most `components`."""
-    long = df.select(key, F.posexplode(doubles(F.col(vector))).alias("d", "x"))
-    term = F.log(2 * F.lit(math.pi) * F.col("variance")) + F.pow(F.col("x") - F.col("mean"), 2) / F.col("variance")
-    if params.select(group).distinct().count() > components:
+    groups = [r[0] for r in params.select(group).distinct().limit(components + 1).collect()]
+    if len(groups) > components:
         raise ValueError("too many components")
-    return long.join(F.broadcast(params), "d").groupBy(key, group).agg((F.log(F.first("weight")) - F.sum(term) / 2).alias("log_density"))
+    groups.sort()
+    rows = sorted(((groups.index(r[0]), r["d"], r["weight"], r["mean"], r["variance"]) for r in params.select(group, "d", "weight", "mean", "variance").collect()), key=lambda r: r[:2])
+    w, mean, var = (np.array([r[i] for r in rows], np.float64).reshape(max(len(groups), 1), -1) for i in (2, 3, 4))
+    shared = df.sparkSession.sparkContext.broadcast((groups, w, mean, var))  # components times dimensions
+    schema = T.StructType([df.schema[key], params.schema[group], T.StructField("log_density", T.DoubleType())])
+    kind = to_arrow_type(params.schema[group].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weight, m, v = shared.value
+        for b in batches:
+            for s in range(0, b.num_rows if names else 0, 2000):
+                part = b.slice(s, 2000)
+                x = _matrix(part.column(1))
+                inv = 1 / v
+                far = (x * x) @ inv.T - 2 * x @ (m * inv).T + (m * m * inv).sum(1)
+                ld = np.log(weight[:, 0]) - (np.log(2 * math.pi * v).sum(1) + far) / 2
+                at = np.repeat(np.arange(len(x)), len(names))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(names * len(x), kind), pa.array(ld.reshape(-1))], schema.fieldNames())
+
+    return df.where(F.col(vector).isNotNull()).select(key, doubles(F.col(vector)).alias("v")).mapInArrow(run, schema)
 
 
 def core_items(df: DataFrame, key: str, group: str, vector: str, n: int = 8) -> DataFrame:
@@ -245,3 +264,15 @@ def granular_topics(df: DataFrame, key: str, vector: str, few: int = 10, outlier
     out = found.join(centre, "topic").select(key, "topic", p.alias("p"))
     far = F.col("p") < outlier
     return out.select(key, F.when(far, -1).otherwise(F.col("topic")).alias("topic_id"), F.when(far, 0.0).otherwise(F.round("p", 4)).alias("probability"))
+
+
+def topic_columns(topics: DataFrame, topic: str = "topic_id") -> DataFrame:
+    """(topic_id, column): the place of each topic but -1 in a row of probabilities, in the order of ids. Topics are few."""
+    ids = topics.where(F.col(topic).isNotNull() & (F.col(topic) != -1)).select(F.col(topic).alias("topic_id")).distinct()
+    return ids.withColumn("column", F.row_number().over(Window.orderBy("topic_id")) - 1)  # one row per topic
+
+
+def confidence(topic: Column, column: Column, probabilities: Column) -> Column:
+    """The topic's probability; where it has no column, the greatest of the row, for topic -1 or without any 0.0."""
+    other = F.when(topic != -1, F.array_max(probabilities)).otherwise(0.0)
+    return F.coalesce(F.get(probabilities, column), other, F.lit(0.0))

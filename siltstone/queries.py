@@ -9,7 +9,7 @@ from siltstone.functions import text as tx
 from siltstone.functions.models import TemplateAnchor, embed
 from siltstone.functions.vector import mean_by
 from siltstone.operators import chunkers, enrich, evaluate, keywords, retrieve, topics
-from siltstone.plans import ablation
+from siltstone.plans import ablation, trace
 from siltstone.sources import corpus, files, store
 from siltstone.staging import latest, spread, stage
 
@@ -690,3 +690,49 @@ def window_chunks_counted(spark, d):
     own = QuarterCounter()
     cut = chunkers.window_chunks(spread(_docs(spark, d)), most=100, whole_sentences=True, counter=own)
     return chunkers.number(cut, "sentence_window", own).select("chunk_id", F.element_at("doc_ids", 1).alias("doc_id"), "text", "token_count")
+
+
+_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@query(f"SELECT chunk_id, array_to_string(list_filter(string_split_regex(coalesce(text, ''), '{_BREAK}'), lambda x: {_strip('x')} <> '')[1:3], chr(10)) AS lines FROM {_CHUNKS}")
+def first_lines(spark, d):
+    return _newest(spark, d, "chunks").select("chunk_id", tx.first_lines(F.col("text")).alias("lines"))
+
+
+_FLAT = _strip(f"regexp_replace(coalesce(text, ''), '{_S}+', ' ', 'g')")
+
+
+@query(f"SELECT chunk_id, {_strip("regexp_replace(" + _FLAT + ", '^[\"'']|[\"'']$', '', 'g')")} AS line FROM {_CHUNKS}")
+def single_lines(spark, d):
+    return _newest(spark, d, "chunks").select("chunk_id", tx.single_line(F.col("text")).alias("line"))
+
+
+@query(f"SELECT c.chunk_id, substr(sha1(coalesce(c.text, '')), 1, 12) AS sign FROM {_RICH} c JOIN {_CHUNKS} r USING (chunk_id) WHERE sha1(coalesce(c.text, '')) = sha1(coalesce(r.text, ''))")
+def traced_chunks(spark, d):
+    """Enriched chunks whose text is still that of the chunk."""
+    out = trace.same_chunks(_newest(spark, d, "enriched_chunks").select("chunk_id", "text"), _newest(spark, d, "chunks").select("chunk_id", "text"))
+    return out.select("chunk_id", F.substring_index("signature", ":", -1).alias("sign"))
+
+
+@query(f"""WITH c AS (SELECT topic_id, row_number() OVER (ORDER BY topic_id) - 1 AS col FROM (SELECT DISTINCT topic_id FROM {_RICH} WHERE topic_id IS NOT NULL AND topic_id <> -1)),
+p AS (SELECT chunk_id, topic_id, list_transform(coalesce(subtopics, []), lambda s: s.confidence) AS p FROM {_RICH} WHERE topic_id IS NOT NULL)
+SELECT chunk_id, topic_id, CAST(col AS INT) AS col, round(coalesce(p[col + 1], CASE WHEN topic_id <> -1 THEN list_max(p) ELSE 0.0 END, 0.0), 4) AS confidence FROM p LEFT JOIN c USING (topic_id)""")
+def topic_confidence(spark, d):
+    """Confidences with the recorded shares of sub-topics as rows of probabilities."""
+    rich = _newest(spark, d, "enriched_chunks").where("topic_id is not null")
+    p = F.transform(F.coalesce("subtopics", F.array().cast(rich.schema["subtopics"].dataType)), lambda s: s["confidence"])
+    out = rich.select("chunk_id", "topic_id", p.alias("p")).join(F.broadcast(topics.topic_columns(rich)), "topic_id", "left")  # a row per topic
+    return out.select("chunk_id", "topic_id", F.col("column").alias("col"), F.round(topics.confidence(F.col("topic_id"), F.col("column"), F.col("p")), 4).alias("confidence"))
+
+
+@query(f"""SELECT c.chunk_id, coalesce(r.topic_id, -1) AS topic_id, CASE WHEN coalesce(r.topic_id, -1) = -1 THEN 'outlier' WHEN l.terms IS NULL THEN 'topic_' || r.topic_id ELSE array_to_string(l.terms[1:4], ' | ') END AS topic_label,
+round(coalesce(r.confidence_score, 0.0), 4) AS confidence_score, array_to_string(coalesce(r.keywords, []), '|') AS keywords, CAST(len(coalesce(r.subtopics, [])) AS INT) AS n_subtopics
+FROM {_CHUNKS} c LEFT JOIN {_RICH} r USING (chunk_id) LEFT JOIN (SELECT topic_id, list(DISTINCT k ORDER BY k) AS terms FROM (SELECT topic_id, unnest(keywords) AS k FROM {_RICH}) WHERE topic_id >= 0 GROUP BY 1) l ON l.topic_id = r.topic_id""")
+def attached_metadata(spark, d):
+    rich = _newest(spark, d, "enriched_chunks")
+    labels = rich.where("topic_id >= 0").select("topic_id", F.explode("keywords").alias("k")).groupBy("topic_id").agg(F.array_sort(F.collect_set("k")).alias("terms"))
+    out = enrich.attach_metadata(
+        _newest(spark, d, "chunks"), rich.select("chunk_id", "keywords"), rich.select("chunk_id", "subtopics"), rich.select("chunk_id", "topic_id", F.col("confidence_score").alias("confidence")), labels
+    )
+    return out.select("chunk_id", "topic_id", "topic_label", "confidence_score", F.array_join("keywords", "|").alias("keywords"), F.size("subtopics").alias("n_subtopics"))
