@@ -29,8 +29,13 @@ def top(df: DataFrame, keys: list[str], by: str, tie: str, n: int | None) -> Dat
     return out if n is None else out.where(F.col("rank") <= n)
 
 
-def class_tfidf(chunks: DataFrame, topic: str = "topic_id", text: str = "text", n: int | None = 5, stop: list[str] | None = None) -> DataFrame:
-    """(topic, term, weight, rank): the first n terms (None: all) of each topic >= 0 by share in the topic times ln(1 + words per topic / total)."""
+def class_tfidf(chunks: DataFrame, topic: str = "topic_id", text: str = "text", n: int | None = 5, stop: list[str] | None = None, all_or_none: bool = False) -> DataFrame:
+    """(topic, term, weight, rank): the first n terms (None: all) of each topic >= 0 by share in the topic times ln(1 + words per topic / total).
+
+    all_or_none: no rows if any chunk has a negative topic.
+    """
+    if all_or_none and chunks.where(F.col(topic) < 0).limit(1).count():
+        chunks = chunks.limit(0)
     one = chunks.where(F.col(topic) >= 0).select(F.col(topic).alias("topic_id"), F.explode(tokens(F.col(text), stop)).alias("term"))
     tf = one.groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
     size = tf.groupBy("topic_id").agg(F.sum("tf").alias("size"))
@@ -55,6 +60,12 @@ def chunk_tfidf(chunks: DataFrame, key: str = "chunk_id", text: str = "text", n:
     return top(raw.select(key, "term", F.round(F.col("x") / length, 9).alias("weight")).where("weight > 0"), [key], "weight", "term", n)
 
 
+def topic_keywords(ranked: DataFrame, topics: DataFrame, n: int = 10) -> DataFrame:
+    """(topic_id, keywords): the first n terms of each of `topics`, an empty list for -1 and for topics without terms."""
+    found = keyword_arrays(ranked.where((F.col("rank") <= n) & (F.col("topic_id") != -1)), "topic_id")
+    return topics.select("topic_id").distinct().join(found, "topic_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+
+
 def keyword_arrays(ranked: DataFrame, key: str) -> DataFrame:
     packed = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
     return packed.select(key, F.transform("k", lambda x: x["term"]).alias("keywords"))

@@ -21,3 +21,21 @@ def same_chunks(later: DataFrame, earlier: DataFrame) -> DataFrame:
     """Rows of a later stage with the id and the text of one of the earlier."""
     sign = tx.signature(F.col("chunk_id"), F.col("text")).alias("signature")
     return later.withColumn("signature", sign).join(earlier.select("chunk_id", sign), ["chunk_id", "signature"], "left_semi")
+
+
+def trace(evidence_id: str, evidence: str, raw: DataFrame, later: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """One example through the stages: the raw chunks of its evidence, and of each later table, in order, the rows that are still
+    these chunks. A stage without the text (a collection's payload has it) can't be matched."""
+    out = {"raw": matching_chunks(raw, evidence_id, evidence)}
+    for name, table in later.items():
+        out[name] = same_chunks(table, out["raw"])
+    return out
+
+
+def render(stages: dict[str, DataFrame], most: int = 5, lines: int = 3) -> str:
+    """The stages for a reader: the first `most` chunks of each by id, with their first lines."""
+    text = []
+    for name, rows in stages.items():
+        shown = rows.select("chunk_id", tx.first_lines(F.col("text"), lines).alias("head")).orderBy("chunk_id").limit(most).collect()
+        text += [f"== {name}: {rows.count()} chunks", *(f"{r.chunk_id}: {r['head']}" for r in shown)]
+    return "\n".join(text) + "\n"

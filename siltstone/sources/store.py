@@ -86,15 +86,15 @@ def validate(spark: SparkSession, root: str, names: list[str]) -> None:
         raise ValueError(f"missing collections: {missing}")
 
 
-def points(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """(point_id, vector, payload): one per chunk_id, the last row of repeated ones."""
+def points(chunks: DataFrame, embedder: Embedder | None = None, legacy: bool = False) -> DataFrame:
+    """(point_id, vector, payload): one per chunk_id, the last row of repeated ones. legacy: the older form of the payload."""
     w = Window.partitionBy("chunk_id").orderBy(F.col("__at").desc())
-    one = payload(chunks.withColumn("__at", F.monotonically_increasing_id()), [*OPTIONAL, "__at"])
-    one = one.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__at")
+    last = chunks.withColumn("__at", F.monotonically_increasing_id()).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__at")
+    one = legacy_payload(last) if legacy else payload(last)
     return embed(one.withColumn("point_id", tx.point_id(F.col("chunk_id"))), "text", "vector", embedder)
 
 
-def index_chunks(chunks: DataFrame, root: str, collection: str, recreate: bool = True, embedder: Embedder | None = None, parts: int = 64) -> int:
+def index_chunks(chunks: DataFrame, root: str, collection: str, recreate: bool = True, embedder: Embedder | None = None, parts: int = 64, legacy: bool = False) -> int:
     """Write a collection; without `recreate`, points with the same id are replaced. Returns how many points it got.
 
     Points are kept in `parts` parts by a hash of their id. A version of the collection is a manifest that names each part's
@@ -108,7 +108,7 @@ def index_chunks(chunks: DataFrame, root: str, collection: str, recreate: bool =
     elif known:
         parts = max(known) + 1
     at = F.pmod(F.xxhash64("point_id"), F.lit(parts)).cast("int").alias("part")
-    new = stage(points(chunks, embedder).select("*", at), "points")
+    new = stage(points(chunks, embedder, legacy).select("*", at), "points")
     count = new.count()
     if not count and not recreate:
         return 0

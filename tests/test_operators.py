@@ -192,6 +192,9 @@ def test_trace(spark):
     assert [r.chunk_id for r in trace.matching_chunks(df, "1", "").collect()] == ["c1"]
     assert [r.chunk_id for r in trace.matching_chunks(df, "99", "y z w").collect()] == ["c2"]
     assert trace.same_chunks(df, df.limit(1)).count() == 1
+    stages = trace.trace("2", "", df, {"enriched": df.withColumn("topic_id", F.lit(1)), "changed": df.withColumn("text", F.lit("other"))})
+    assert {k: v.count() for k, v in stages.items()} == {"raw": 1, "enriched": 1, "changed": 0}
+    assert trace.render(stages) == "== raw: 1 chunks\nc2: x y z\n== enriched: 1 chunks\nc2: x y z\n== changed: 0 chunks\n"
 
 
 def test_ablation_and_reports(spark, tmp_path):
@@ -223,6 +226,20 @@ def test_versions_of_a_collection(spark, tmp_path):
         store.read_collection(spark, root, "y")
 
 
+def test_topic_keywords(spark):
+    df = spark.createDataFrame([(0, "alpha beta alpha"), (1, "gamma delta"), (-1, "alpha")], "topic_id int, text string")
+    assert keywords.class_tfidf(df, all_or_none=True).count() == 0
+    ranked = keywords.class_tfidf(df)
+    assert {r.topic_id: r.keywords for r in keywords.topic_keywords(ranked, df, 1).collect()} == {0: ["alpha"], 1: ["delta"], -1: []}
+
+
+def test_legacy_points(spark):
+    rows = [("a", ["1", "2"], "x", [(" q ", "Anchor", 1), ("r", "other", 1)])]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_ids array<string>, text string, synthetic_queries array<struct<text string, typology string, subtopic_id int>>")
+    got = store.points(df, HashEmbedder(4), legacy=True).collect()[0]
+    assert got.doc_id == "1" and got.topic_id == -1 and got.anchor_queries == ["q"] and len(got.vector) == 4
+
+
 def test_payload_doc_ids(spark):
     df = spark.createDataFrame([(["a"], None, "z"), ([], ["b", None], "z"), (None, None, "z"), (None, None, None)], "doc_ids array<string>, Docs array<string>, doc_id string")
     assert [r[0] for r in df.select(store.payload_doc_ids(df)).collect()] == [["a"], ["b"], ["z"], []]
